@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainproof.llm import chat, licences, neardup, packing, sharding, tokenfile, topk
+from chainproof.llm import chat, licences, neardup, packing, sharding, tokenfile, topk, toxicity
 from chainproof.llm.common import new_path, table
 
 
@@ -19,6 +19,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (~toxicity.may_learn(F.col("doc_id"))).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op4_near_dedup": op4_near_dedup,
     "op5_chat": op5_chat,
     "op6_licences": op6_licences,
