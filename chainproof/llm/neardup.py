@@ -31,7 +31,9 @@ PERMUTATIONS, BANDS = 64, 32
 #: Members outside a bucket's largest component that one block compares with the bucket.
 BLOCK = 64
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
-MEMORY = 500_000
+MEMORY = 100_000
+#: Rows of an Arrow batch that are in work at a time.
+SLICE = 500
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,9 +106,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             if len(_words) > MEMORY:
                 _words.clear()
@@ -128,11 +128,9 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the documents in ``ids``, from their whole texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
             if len(_words) > MEMORY:
                 _words.clear()
 

@@ -28,17 +28,19 @@ from chainproof.llm.common import written
 
 #: Labelled rows of each label that the model is fitted on, and terms of its vocabulary, at most.
 SAMPLE, TERMS = 4000, 4096
-#: Least chi-square of a term with the label; neighbours that vote; examples in a block.
-LEAST, NEIGHBOURS, BLOCK = 24.0, 15, 64
+#: Least chi-square of a term with the label and least examples that have it.
+LEAST, EXAMPLES = 60.0, 8
+#: Neighbours that vote; examples in a block.
+NEIGHBOURS, BLOCK = 15, 64
 #: Words whose features a worker keeps; beyond it the memory starts anew.
-MEMORY = 500_000
+MEMORY = 200_000
 
 _word = re.compile(r"\w+")
 
 
 def features(word: str) -> tuple[str, ...]:
-    """What a word stands for: itself, and its first four and five letters if it is longer."""
-    return (word,) if len(word) < 6 else (word, f"^{word[:4]}", f"^{word[:5]}")
+    """What a word stands for: itself, and its openings of four to seven letters."""
+    return (word, *(f"^{word[:n]}" for n in range(4, min(8, len(word)))))
 
 
 class _Terms(dict):
@@ -160,7 +162,7 @@ def may_learn(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from the labels (0 or 1) of rows outside the held-out fifth, and the texts of
     ``docs``. Labels that are null, have a null key or no document teach nothing; of several
-    labels of one key the largest counts."""
+    labels of one key the largest counts; equal texts of one label are one example."""
     spark = docs.sparkSession
     k, t = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
     y = labels.select(k.alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(may_learn(F.col("id")))
@@ -186,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(c) for c in rows], pa.list_(pa.string())), pa.array([list(c.values()) for c in rows], pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
 
     examples = texts.join(F.broadcast(sample), "id").select("id", "y", "text")  # 2 * SAMPLE ids at most
-    examples = written(examples.mapInArrow(spelled, "id long, y int, terms array<string>, counts array<long>"), "examples")
+    examples = written(examples.mapInArrow(spelled, "id long, y int, terms array<string>, counts array<long>").withColumn("hash", F.xxhash64("terms", "counts")), "examples")
+    examples = written(examples.join(examples.groupBy("hash", "y").agg(F.min("id").alias("id")), ["hash", "y", "id"], "left_semi").drop("hash"), "examples")
     n = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
@@ -196,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     a, m = F.col("a").cast("double"), F.col("m").cast("double")
     off = a * n0 - (m - a) * n1
     chi = (n0 + n1) * off * off / (float(n0) * n1 * m * (n0 + n1 - m))
-    chosen = by_term.where((F.col("m") >= 3) & (F.col("m") < n0 + n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST)
+    chosen = by_term.where((F.col("m") >= EXAMPLES) & (F.col("m") < n0 + n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST)
     vocabulary = {r["term"]: i for i, r in enumerate(chosen.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect())}  # TERMS rows at most
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
