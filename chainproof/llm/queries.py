@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainproof.llm import chat, licences, neardup, packing, sharding, tokenfile, topk, toxicity
+from chainproof.llm import chat, decontaminate, licences, neardup, packing, sharding, tokenfile, topk, toxicity
 from chainproof.llm.common import new_path, table
 
 
@@ -46,6 +46,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(manifest, path, digests_only=True)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_licences": op6_licences,
     "op7_token_files": op7_token_files,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_top_k": op10_top_k,
 }
