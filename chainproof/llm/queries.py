@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainproof.llm import chat, decontaminate, licences, neardup, packing, sharding, tokenfile, topk, toxicity
+from chainproof.llm import chat, decontaminate, licences, neardup, packing, sharding, tokenfile, topk, toxicity, urlfilter
 from chainproof.llm.common import new_path, table
 
 
@@ -25,6 +25,39 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~toxicity.may_learn(F.col("doc_id"))).alias("held_out"), "score", "predicted", "evidence")
 
 
+def url_lists(pages: DataFrame) -> DataFrame:
+    """Dated list entries made from the hosts and URLs of ``pages``, as a stand-in for published
+    lists: hosts that are listed and often cleared again, domains, sections of sites, single
+    pages, and an allow list."""
+    known = pages.select("page_id", urlfilter.host(F.col("url")).alias("host"), urlfilter.path(F.col("url")).alias("path")).where("host is not null")
+    number = lambda c, a: F.conv(F.substring(F.md5(c), a, 6), 16, 10).cast("int")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    hosts = known.select("host").distinct().withColumns({"h": number("host", 1), "g": number("host", 7)})
+    domains = known.select(F.substring_index("host", ".", -3).alias("d")).distinct().withColumn("h", number("d", 13))
+    entry = lambda df, name, verdict, kind, value, action, n: df.select(F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), F.lit(kind).alias("kind"), F.expr(value).alias("value"), F.lit(action).alias("action"), day(n).alias("at"))
+    h, g = F.col("h"), F.col("g")
+    parts = [
+        entry(hosts.where("h % 3 = 0"), "abuse", "block", "host", "host", "add", h % 300),
+        entry(hosts.where("h % 3 = 0 and g % 2 = 0"), "abuse", "block", "host", "host", "remove", h % 300 + 30 + g % 97),
+        entry(hosts.where("g % 7 = 0"), "partners", "allow", "host", "host", "add", g % 100),
+        entry(hosts.where("g % 5 = 1"), "sections", "block", "prefix", "concat(host, '/de')", "add", g % 250),
+        entry(domains.where("h % 4 = 0"), "spam", "block", "domain", "d", "add", h % 200),
+        entry(known.where("page_id % 97 = 0"), "takedown", "block", "url", "concat(host, path)", "add", F.col("page_id") % 366),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    captures = pages.select("page_id", "url", fetched.alias("fetched_at"))
+    out = urlfilter.judge(captures, url_lists(pages))
+    return out.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "verdict", "list", "entry", F.col("since").cast("string").alias("since"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +95,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op3_url_filter": op3_url_filter,
     "op4_near_dedup": op4_near_dedup,
     "op5_chat": op5_chat,
     "op6_licences": op6_licences,
@@ -73,6 +107,44 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op3_url_filter": r"""
+        with known as (
+            select page_id, url, cast('2024-01-01' as date) + cast(page_id * 37 % 366 as integer) as fetched_at,
+                nullif(rtrim(lower(regexp_extract(trim(url), '(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.'), '') as host,
+                rtrim(regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/') as path
+            from pages),
+        hosts as (
+            select host, cast(('0x' || substr(md5(host), 1, 6)) as integer) as h, cast(('0x' || substr(md5(host), 7, 6)) as integer) as g
+            from (select distinct host from known where host is not null)),
+        domains as (
+            select d, cast(('0x' || substr(md5(d), 13, 6)) as integer) as h
+            from (select distinct array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') as d from known where host is not null)),
+        events as (
+            select 'abuse' as list, 'block' as verdict, 'host' as kind, host as value, 'add' as action, h % 300 as n from hosts where h % 3 = 0
+            union all select 'abuse', 'block', 'host', host, 'remove', h % 300 + 30 + g % 97 from hosts where h % 3 = 0 and g % 2 = 0
+            union all select 'partners', 'allow', 'host', host, 'add', g % 100 from hosts where g % 7 = 0
+            union all select 'sections', 'block', 'prefix', host || '/de', 'add', g % 250 from hosts where g % 5 = 1
+            union all select 'spam', 'block', 'domain', d, 'add', h % 200 from domains where h % 4 = 0
+            union all select 'takedown', 'block', 'url', host || path, 'add', page_id % 366 from known where host is not null and page_id % 97 = 0),
+        one as (
+            select list, kind || '|' || lower(value) as key, cast('2024-01-01' as date) + cast(n as integer) as t0, max(action) as action, max(verdict) as verdict
+            from events group by 1, 2, 3),
+        valid as (
+            select * from (select *, lead(t0) over (partition by list, key order by t0) as ended from one) where action = 'add'),
+        labels as (select *, string_split(host, '.') as l, list_filter(string_split(path, '/'), lambda x: x <> '') as p from known),
+        keys as (
+            select page_id, url, fetched_at, 'url|' || lower(host || path) as key, 1000000 as rank from labels where host is not null
+            union all select page_id, url, fetched_at, 'host|' || host, 10000 from labels where host is not null
+            union all select page_id, url, fetched_at, 'prefix|' || lower(host || '/' || array_to_string(p[1:i], '/')), 100000 + i
+                from (select *, unnest(range(1, len(p))) as i from labels where host is not null)
+            union all select page_id, url, fetched_at, 'domain|' || array_to_string(l[len(l) - i + 1:], '.'), i
+                from (select *, unnest(range(2, len(l) + 1)) as i from labels where host is not null)),
+        best as (
+            select k.page_id, v.verdict, v.list, v.key as entry, v.t0 as since,
+                row_number() over (partition by k.page_id order by k.rank desc, v.verdict = 'allow' desc, v.t0 desc, v.list desc) as r
+            from keys k join valid v on k.key = v.key and v.t0 <= k.fetched_at and (v.ended is null or k.fetched_at < v.ended))
+        select k.page_id, k.url, cast(k.fetched_at as varchar) as fetched_at, coalesce(b.verdict, 'none') as verdict, b.list, b.entry, cast(b.since as varchar) as since
+        from known k left join best b on k.page_id = b.page_id and b.r = 1""",
     "op10_top_k": """
         with v as (
             select vec_id as id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v

@@ -273,3 +273,23 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows that score 0.5 or more. Rows are judged one by one
+    where they are read; nothing is joined back."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        terms = _Terms(model.vocabulary)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            keep = []
+            for x in batch.column(at).to_pylist():
+                c = counted(x, terms)
+                raw = model.vote(*model.index.unit(c))[0] if c and model.index else None
+                keep.append(model.score(raw) < 0.5)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
