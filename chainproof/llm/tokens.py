@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 from itertools import chain
 
@@ -10,8 +11,12 @@ import numpy as np
 
 #: Id appended to each document.
 END_ID = 1
-#: Pieces of text kept with their ids, per worker and file; beyond it the memory starts anew.
-MEMORY = 300_000
+#: Pieces of text, and words without case and punctuation, kept with their ids, per worker and
+#: file; beyond these the memory starts anew.
+PIECES, WORDS = 300_000, 800_000
+
+#: A word of letters that are alike in every version of Unicode, and punctuation that ends it.
+_plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -24,34 +29,67 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Encodes with one tokenizer file, which must drop white space between words, as
-    word_bpe_49k.json does: then the ids of a text are those of its pieces between blanks, end to
-    end, and each different piece has to be encoded once only.
-
-    Blanks and line feeds alone separate pieces here. Both are white space to any such tokenizer,
-    and no special token of one holds either; other white space stays inside a piece.
+    """Encodes with one tokenizer file of the kind of word_bpe_49k.json, which drops white space,
+    lower-cases, parts runs of letters from runs of punctuation, and ends each word's last token
+    with a mark. The ids of a text are then those of its pieces between blanks, end to end, and
+    those of a piece of letters and final punctuation are those of its parts; each different part
+    has to be encoded once only.
+
+    Blanks and line feeds alone separate pieces here: both are white space to the tokenizer, and
+    no special token of it holds either. Other white space stays inside a piece.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds pieces, and the words in them that are not known yet."""
+        if len(self.words) > WORDS:
+            self.words = {"": b""}
+        words = self.words
+        parts = {}
+        for p in new:
+            m = _plain.fullmatch(p)
+            parts[p] = (m[1].lower(), m[2]) if m else (p, "")
+        unknown = {w for pair in parts.values() for w in pair if w not in words}
+        letters = [w for w in unknown if _plain.fullmatch(w)]
+        letters = [w for w in letters if w[-1] not in ".,;:!?"]
+        other = list(unknown.difference(letters))
+        for at in range(0, len(letters), 2_000):
+            part = letters[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):  # not of the kind above
+                other += part
+                continue
+            whole, start = ids.tobytes(), 0
+            for w, end in zip(part, (4 * cuts).tolist(), strict=True):
+                words[w] = whole[start:end]
+                start = end
+        for at in range(0, len(other), 5_000):
+            part = other[at : at + 5_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                words[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for p, (w, tail) in parts.items():
+            self.pieces[p] = words[w] + words[tail] if tail else words[w]
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text, with the end id; null counts as empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.pieces
-        new = [w for w in set(chain.from_iterable(split)) if w not in known]
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list(set(chain.from_iterable(split)))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        new = set(chain.from_iterable(split)).difference(self.pieces)
+        if len(self.pieces) + len(new) > PIECES:
+            self.pieces = {}
+            new = set(chain.from_iterable(split))
+        self._learn(new)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        get = known.__getitem__
+        get = self.pieces.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in split]
 
 
