@@ -87,7 +87,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("jn16_geo_overlap", duck("edge_pairs", "chain_entities", then="""
-    , c as (select entity_id, list_distinct(list_filter(list_transform(string_split(coalesce(cities, ''), '،'), lambda x: trim(x)), lambda x: x <> '' and x <> '-')) as c from chain_entities),
+    , c as (select entity_id, list_filter(list_transform(string_split(coalesce(cities, ''), '،'), lambda x: trim(x)), lambda x: x <> '' and x <> '-') as c from chain_entities),
     x as (select student_id, teacher_id, a.c as a, b.c as b from edge_pairs join c a on a.entity_id = student_id join c b on b.entity_id = teacher_id)
     select student_id, teacher_id, case when len(a) = 0 or len(b) = 0 then 'unknown' when len(list_intersect(a, b)) > 0 then 'overlap' else 'no_overlap' end as status, array_to_string(list_sort(list_intersect(a, b)), '|') as shared,
         array_to_string(list_filter(a, lambda v: v <> ''), '، ') || case when len(a) > 0 and len(list_filter(b, lambda v: not list_contains(a, v))) > 0 then '، ' else '' end || array_to_string(list_filter(b, lambda v: not list_contains(a, v)), '، ') as together from x"""))
@@ -455,8 +455,8 @@ def _(t: Tables) -> DataFrame:
     f as (select *, row_number() over (partition by book_id, number order by page_id, para_no) as r from n where length(text) >= 20)
     select book_id, number, text, {NORMAL("text")} as normalized from f where r = 1 and length({NORMAL("text")}) >= 10"""))
 def _(t: Tables) -> DataFrame:
-    h = headed(t).withColumn("text", F.regexp_replace("text", r"^([0-9]+)", "$1"))
-    number = F.regexp_extract("text", r"^([0-9]+)\s*-", 1).cast("int")
+    h = headed(t)
+    number = F.nullif(F.regexp_extract("text", r"^([0-9]+)\s*-", 1), F.lit("")).cast("int")
     renumbered = h.withColumn("text", F.when(number.isNotNull(), F.concat((number % 17).cast("string"), F.lit(" - "), F.regexp_extract("text", r"^([0-9]+)\s*-\s*(.+)$", 2))).otherwise(F.col("text")))
     return P.numbered_records(renumbered)
 
