@@ -7,10 +7,13 @@ permutations) are bucket keys: at similarity 0.75 a pair misses all 32 bands wit
 below 6e-6.
 
 Links are confirmed on the full shingle sets. Documents of one set are one class and never paired.
-A bucket is first settled against its smallest member only; where that leaves more than one
-component in it, the members outside its largest component are compared with all others of the
-bucket, in blocks, so that every pair that shares a bucket is linked, is in one component, or has
-been compared. A group of copies therefore costs rows in proportion to its size.
+A bucket is first settled against its smallest member only. The documents of buckets that still
+hold more than one component are then joined exactly: their shingles are put into one order of
+rising frequency, and two of them can only be similar if they share one early enough in both orders
+that as many follow it as a link needs (prefix and positional filter). Of each such shingle, the
+documents outside its largest component are compared with all others of other components, in
+blocks. So every pair that shares a bucket is linked, is in one component, cannot be linked, or has
+been compared, and a group of copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from chainproof.llm.common import written
 from chainproof.llm.components import connected_components
 
 PERMUTATIONS, BANDS = 64, 32
-#: Members outside a bucket's largest component that one block compares with the bucket.
-BLOCK = 64
+#: Documents outside a shingle's largest component that one block compares with the others.
+BLOCK = 1024
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
 MEMORY = 100_000
 #: Rows of an Arrow batch that are in work at a time.
@@ -138,6 +141,26 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
     return rows.join(ids, "id", "left_semi").mapInArrow(make, "id long, shingles array<long>")
 
 
+def _early_shingles(docs: DataFrame, key: str, text: str, placed: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, i, component): the shingles (key) that documents of ``placed`` share with others
+    of it and that stand, at place i in the order of rising frequency, before the last with which a
+    link is possible."""
+    ids = written(placed.select("id", "n", "component").distinct(), "documents")
+    tokens = written(_sets(docs, key, text, ids.select("id")).select("id", F.explode("shingles").alias("key")), "shingles")
+    counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    own = counts.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))  # these come first, and no other has them
+    rows = tokens.join(written(counts.where("c > 1").select("key", "c"), "counts"), "key")
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("c", "key")) - 1)
+    rows = rows.join(ids, "id").join(own, "id", "left").withColumn("i", F.col("r") + F.coalesce("own", F.lit(0)))
+    return rows.where(100 * (F.col("n") - F.col("i")) >= percent * F.col("n")).select("key", "id", "n", "i", "component")
+
+
+def _mixed_buckets(placed: DataFrame) -> DataFrame:
+    """The rows of buckets (key) that hold more than one component."""
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return placed.join(written(mixed, "mixed"), "key", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
     pairs = written(pairs, "pairs")
@@ -172,20 +195,22 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # buckets that still hold more than one component
     placed = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = written(placed.join(written(mixed, "mixed"), "key", "left_semi"), "placed")
-    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-    outside = placed.join(written(largest, "largest"), "key").where("component <> largest")
+    placed = written(_mixed_buckets(placed), "placed")
+    early = written(_early_shingles(docs, key, text, placed, percent), "early")
+    early = written(_mixed_buckets(early), "early")
+    largest = early.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+    outside = early.join(written(largest, "largest"), "key").where("component <> largest")
     outside = outside.withColumn("block", F.floor((F.row_number().over(W.partitionBy("key").orderBy("id")) - 1) / BLOCK))
-    outside = written(outside.select("key", "block", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("component").alias("o_component"), "largest"), "outside")
+    outside = written(outside.select("key", "block", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("i").alias("o_i"), F.col("component").alias("o_component"), "largest"), "outside")
     blocks = outside.agg(F.max("block")).first()[0]
+    most = F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i"))  # from here on in both orders
     more = []
     for block in range(0 if blocks is None else blocks + 1):
-        own = outside.where(F.col("block") == block)
+        now = outside.where(F.col("block") == block)
         # each pair once: against the largest component, or the smaller id of two outside it
         once = (F.col("component") == F.col("largest")) | (F.col("o") < F.col("id"))
-        open_ = (F.col("component") != F.col("o_component")) & once & near(F.col("n"), F.col("o_n")) & (F.col("id") != F.col("lead")) & (F.col("o") != F.col("lead"))
-        pairs = own.join(placed, "key").where(open_).select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
+        able = 100 * most >= percent * (F.col("n") + F.col("o_n") - most)
+        pairs = now.join(early, "key").where((F.col("component") != F.col("o_component")) & once & able).select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
         more.append(written(confirmed(pairs, docs, key, text, percent), "links"))
     if more:
         for x in more:
