@@ -138,15 +138,16 @@ def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
                 _words.clear()
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(make, "id long, shingles array<long>")
+    # the ids grow with the corpus, so the join is the same at every size: never a broadcast
+    return rows.join(ids.hint("merge"), "id", "left_semi").mapInArrow(make, "id long, shingles array<long>")
 
 
-def _early_shingles(docs: DataFrame, key: str, text: str, placed: DataFrame, percent: int) -> DataFrame:
+def _early_shingles(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """(key, id, n, i, component): the shingles (key) that documents of ``placed`` share with others
     of it and that stand, at place i in the order of rising frequency, before the last with which a
     link is possible."""
     ids = written(placed.select("id", "n", "component").distinct(), "documents")
-    tokens = written(_sets(docs, key, text, ids.select("id")).select("id", F.explode("shingles").alias("key")), "shingles")
+    tokens = sets.join(ids.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("key"))
     counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
     own = counts.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))  # these come first, and no other has them
     rows = tokens.join(written(counts.where("c > 1").select("key", "c"), "counts"), "key")
@@ -161,11 +162,8 @@ def _mixed_buckets(placed: DataFrame) -> DataFrame:
     return placed.join(written(mixed, "mixed"), "key", "left_semi")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(_sets(docs, key, text, ids), "sets")
     of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"set_{end}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -189,14 +187,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     buckets = rows.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     members = written(rows.join(written(buckets, "buckets"), "key"), "members")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sizes alone rule it out
+    # the full sets of all that share a bucket: the only time that texts are shuffled
+    sets = written(_sets(docs, key, text, members.select("id").distinct()), "sets")
     star = members.where("id <> lead").where(near(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(star, docs, key, text, percent), "links")
+    links = written(confirmed(written(star, "pairs"), sets, percent), "links")
     components = written(connected_components(links), "components")
 
     # buckets that still hold more than one component
     placed = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(_mixed_buckets(placed), "placed")
-    early = written(_early_shingles(docs, key, text, placed, percent), "early")
+    early = written(_early_shingles(sets, placed, percent), "early")
     early = written(_mixed_buckets(early), "early")
     largest = early.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
     outside = early.join(written(largest, "largest"), "key").where("component <> largest")
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         once = (F.col("component") == F.col("largest")) | (F.col("o") < F.col("id"))
         able = 100 * most >= percent * (F.col("n") + F.col("o_n") - most)
         pairs = now.join(early, "key").where((F.col("component") != F.col("o_component")) & once & able).select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
-        more.append(written(confirmed(pairs, docs, key, text, percent), "links"))
+        more.append(written(confirmed(written(pairs, "pairs"), sets, percent), "links"))
     if more:
         for x in more:
             links = links.unionByName(x)

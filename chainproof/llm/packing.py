@@ -105,10 +105,11 @@ def pieces(docs: DataFrame, *, capacity: int = 4096, vocabulary: str = "word_bpe
                 rows = []
                 for doc, ids in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
                     whole = ids.tobytes()
-                    tie = zlib.crc32(whole)
+                    tie = zlib.crc32(whole) if len(ids) > capacity else None  # a single piece's own
                     for i in range(0, len(ids), capacity):
                         part = whole[4 * i : 4 * (i + capacity)]
-                        rows.append((doc, i // capacity, i, len(part) // 4, zlib.crc32(part), tie) + ((part,) if with_ids else ()))
+                        crc = zlib.crc32(part)
+                        rows.append((doc, i // capacity, i, len(part) // 4, crc, crc if tie is None else tie) + ((part,) if with_ids else ()))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "tie", "ids"]
                 columns = list(zip(*rows, strict=True))

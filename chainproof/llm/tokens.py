@@ -13,7 +13,7 @@ import numpy as np
 END_ID = 1
 #: Pieces of text, and words without case and punctuation, kept with their ids, per worker and
 #: file; beyond these the memory starts anew.
-PIECES, WORDS = 300_000, 800_000
+PIECES, WORDS = 600_000, 1_000_000
 
 #: A word of letters that are alike in every version of Unicode, and punctuation that ends it.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
