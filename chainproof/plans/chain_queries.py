@@ -483,7 +483,7 @@ _LEXICON = {"with": "haddathana", "from": "an", "that": "anna"}
 
 
 @query("px04_segment_chain", duck(then="""
-    with s as (select conv_id * 100 + turn as chain_id, ' ' || regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[،,]\\s*', ' ', 'g') || ' ' as t from conversations),
+    with s as (select conv_id * 100 + turn as chain_id, regexp_extract(regexp_replace(' ' || regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[،,]\\s*', ' ', 'g') || ' ', '( (?:with|from|that))\\s*:', '\\1 ', 'g'), '^([^.:؛]*)', 1) || ' ' as t from conversations),
     m as (select chain_id, string_split(regexp_replace(replace(t, ' ', '  '), ' (with|from|that) ', ' ' || chr(1) || '\\1' || chr(1), 'g'), chr(1)) as p from s),
     i as (select chain_id, p, unnest(range(1, (len(p) - 1) // 2 + 1)) as i from m),
     n as (select chain_id, cast(i - 1 as integer) as pos, trim(regexp_replace(regexp_extract(p[2 * i + 1], '^([^.:؛]*)', 1), '\\s+', ' ', 'g')) as name, case p[2 * i + 2] when 'with' then 'haddathana' when 'from' then 'an' when 'that' then 'anna' end as formula from i)

@@ -46,8 +46,8 @@ def test_stream_quota_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(i, i % 2, f"2024-01-01 00:00:{i:02d}") for i in range(12)], "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = ST.stream_quota(stream, 3, 600).writeStream.format("memory").queryName("quota").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
+    q = ST.stream_quota(stream, 3, 600).writeStream.format("memory").queryName("quota").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     got = {(r["id"], r["allowed"]) for r in spark.sql("select * from quota").collect()}
     assert got == {(r["id"], r["allowed"]) for r in ST.sliding_quota(events, 3, 600).collect()}
