@@ -49,25 +49,21 @@ def sliding_quota(events: DataFrame, most: int = 20, window_seconds: int = 600,
 
 
 def stream_quota(events: DataFrame, most: int = 20, window_seconds: int = 600, *, key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
-    """ST-1 on a stream: the accepted times of each key are its state, dropped when it is idle for a
-    window. Hits of one micro-batch are taken in order of time and id."""
+    """ST-1 on a stream: the accepted times of each key, ``most`` at the most, are its state. Hits of
+    one micro-batch are taken in order of time and id."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     window = window_seconds * 1_000_000
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         accepted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(frames)).sort_values(["us", "id"])
         allowed = [_decide(accepted, int(us), most, window) for us in rows["us"]]
         state.update((list(accepted),))
-        state.setTimeoutDuration(window_seconds * 1000)
         yield pd.DataFrame({"key": k[0], "id": rows["id"], "ts": rows["ts"], "allowed": allowed})
 
     rows = events.select(F.col(key).cast("long").alias("key"), F.col(event).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return rows.groupBy("key").applyInPandasWithState(run, QUOTA, "accepted array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, QUOTA, "accepted array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def audit_incremental(new: DataFrame, cache: DataFrame, version: str, compute: Callable[[DataFrame], DataFrame], *, text: str = "text", at: str = "created_at") -> tuple[DataFrame, DataFrame]:
