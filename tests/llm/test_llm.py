@@ -192,6 +192,23 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(none, benchmark).count() == 0 and decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_much_repeated_items(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    items = [(i, " ".join(word() for _ in range(24)) + ". " + " ".join(word() for _ in range(6)) + ".") for i in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rare = [w for i, t in items if i != 5 for w in re.findall("[a-h]+", t)]
+    other = lambda n: " ".join(rng.choice(rare, n))
+    # one item, whole or with a sixth of its words changed, in a third of the documents, between rarer words of the others
+    copy = lambda i: items[5][1] if i % 2 else " ".join(w if k % 6 else word() for k, w in enumerate(items[5][1].split()))
+    texts = [(i, f"{other(40 + i % 9)} {copy(i)} {other(30)}" if i % 3 == 0 else other(100)) for i in range(300)]
+    hits = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == {(i, 5) for i in range(0, 300, 3)}
+    few = [(i, " ".join(word() for _ in range(40))) for i in range(48)] + [(100 + i, items[7][1]) for i in range(2)]
+    hits = decontaminate.contaminated(spark.createDataFrame(few, "doc_id long, text string"), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == {(100, 7), (101, 7)}
+
+
 def test_url_filter(spark):
     e = [("l", "block", "host", "A.example", "add", "2024-01-10"), ("l", "block", "host", "a.example", "remove", "2024-01-20"), ("w", "allow", "prefix", "a.example/x", "add", "2024-01-01"), ("d", "block", "domain", "b.example", "add", "2024-02-01"), ("d", "block", None, "b", "add", "2024-02-01")]
     entries = spark.createDataFrame(e, "list string, verdict string, kind string, value string, action string, at string").withColumn("at", F.to_date("at"))
