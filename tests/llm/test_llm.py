@@ -209,6 +209,17 @@ def test_decontamination_of_much_repeated_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in hits} == {(100, 7), (101, 7)}
 
 
+def test_decontamination_of_long_items(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join("".join(w) for w in rng.choice(list("abcdefgh"), (n, 6)))
+    items = [(i, f"{some(n)}. {some(10)}.") for i, n in enumerate((20, 60, 70, 300, 900, 3000))]
+    changed = lambda t: " ".join(w if k % 5 else "other" for k, w in enumerate(t.split()))
+    texts = [(i, some(120)) for i in range(60)]
+    texts += [(100 + i, f"{some(50 + i)} {t} {some(40)}") for i, t in items] + [(200 + i, f"{some(45 - i)} {changed(t)} {some(9)}") for i, t in items]
+    hits = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in hits) == sorted((n + i, i) for n in (100, 200) for i, _ in items)
+
+
 def test_url_filter(spark):
     e = [("l", "block", "host", "A.example", "add", "2024-01-10"), ("l", "block", "host", "a.example", "remove", "2024-01-20"), ("w", "allow", "prefix", "a.example/x", "add", "2024-01-01"), ("d", "block", "domain", "b.example", "add", "2024-02-01"), ("d", "block", None, "b", "add", "2024-02-01")]
     entries = spark.createDataFrame(e, "list string, verdict string, kind string, value string, action string, at string").withColumn("at", F.to_date("at"))
