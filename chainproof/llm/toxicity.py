@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples.
 
-Features are a text's words and the openings of its longer words. The vocabulary is chosen by how
-unevenly the labels of a bounded sample of labelled rows (``SAMPLE`` for each label) have them;
-inverse document frequencies are counted over all documents. Examples are the sample's rows, and
-the nearest are those of largest cosine of TF-IDF vectors, found exactly: the examples lie in
+Features are a text's words and the openings of its longer words. The vocabulary is the ``TERMS``
+that the labels of a bounded sample of labelled rows (``SAMPLE`` for each label) have most unevenly,
+by rank, so it is chosen alike at every size of the sample. A term's weight is its inverse document
+frequency, counted over all documents, times its correlation with the label, which keeps chance
+terms of small samples light. Examples are the sample's rows, and
+the nearest are those of largest cosine of such vectors, found exactly: the examples lie in
 blocks, the index has for each term its largest weight in each block, and blocks are evaluated in
 descending order of their upper bound until no further one can hold a neighbour.
 
@@ -28,8 +30,8 @@ from chainproof.llm.common import written
 
 #: Labelled rows of each label that the model is fitted on, and terms of its vocabulary, at most.
 SAMPLE, TERMS = 4000, 4096
-#: Least chi-square of a term with the label and least examples that have it.
-LEAST, EXAMPLES = 60.0, 8
+#: Least examples that have a term.
+EXAMPLES = 3
 #: Neighbours that vote; examples in a block.
 NEIGHBOURS, BLOCK = 15, 64
 #: Words whose features a worker keeps; beyond it the memory starts anew.
@@ -199,8 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     a, m = F.col("a").cast("double"), F.col("m").cast("double")
     off = a * n0 - (m - a) * n1
     chi = (n0 + n1) * off * off / (float(n0) * n1 * m * (n0 + n1 - m))
-    chosen = by_term.where((F.col("m") >= EXAMPLES) & (F.col("m") < n0 + n1)).withColumn("chi", chi).where(F.col("chi") >= LEAST)
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect())}  # TERMS rows at most
+    ranked = by_term.where((F.col("m") >= EXAMPLES) & (F.col("m") < n0 + n1)).withColumn("chi", chi).orderBy(F.desc("chi"), "term")
+    chosen = ranked.limit(TERMS).select("term", "chi").collect()  # TERMS rows at most
+    vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, df, rows = _Terms(vocabulary), Counter(), 0
@@ -213,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))], dtype=np.float64))) + 1
+    idf *= np.sqrt(np.array([r["chi"] for r in chosen], dtype=np.float64) / (n0 + n1))
 
     def in_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

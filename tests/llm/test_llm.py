@@ -165,6 +165,19 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
 
 
+@pytest.mark.parametrize(("clean", "toxic"), [(58, 12), (500, 12)])
+def test_toxicity_of_few_examples(spark, clean, toxic):
+    rng = np.random.default_rng(9)
+    lexicon, bad = [f"{x:x}w" for x in range(200, 320)], ["scum", "filth", "vermin", "lout"]
+    some = lambda words, n: list(rng.choice(words, n))
+    rows = [(i, " ".join(some(lexicon, 20) + [b for k, b in enumerate(bad) if i < toxic and k in (i % 4, (i + 1) % 4)])) for i in range(clean + toxic)]
+    more = [(10_000 + i, " ".join(some(lexicon, 20) + ([bad[i % 4], bad[(i + 1) % 4]] if i < 20 else []))) for i in range(100)]
+    table = spark.createDataFrame(rows + more, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < toxic)) for i in range(clean + toxic)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(table, toxicity.fit(table, labels)).collect()}
+    assert sum(got[10_000 + i] for i in range(20)) >= 16 and sum(got[10_000 + i] for i in range(20, 100)) <= 4
+
+
 def test_nearest_is_exhaustive():
     rng = np.random.default_rng(2)
     idf = rng.random(40) + 1
