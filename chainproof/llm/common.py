@@ -1,18 +1,26 @@
-"""What the training-data operators share: the shared work folder, written tables, names."""
+"""What the training-data operators share: the shared work folder, written tables, batches, names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is
-    unset (local tests), a fresh temporary folder, which is then set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset and
+    Spark runs in one process, a fresh temporary folder, which is then set; on a cluster no folder of
+    one machine will do, so it has to be set there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='chainproof-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -33,6 +41,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and the name of that column, which ``docs`` did not have.
+    The numbers are written with the rows, so every later read has the same ones."""
+    number = "_row"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    return written(docs.withColumn(number, F.monotonically_increasing_id()), name), number
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with about ``most`` bytes of text in ``column``, or one row, so that
+    what a task holds as Python objects does not depend on how long the texts are. Gives memory that
+    Arrow keeps for later back at the end."""
+    try:
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 16
+            run = (np.cumsum(sizes) - sizes) // most
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+_FIRST, _SECOND = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number turned into another that looks random, one to one."""
+    x = (x ^ (x >> np.uint64(33))) * _FIRST
+    x = (x ^ (x >> np.uint64(33))) * _SECOND
+    return x ^ (x >> np.uint64(33))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table of ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,145 +1,193 @@
 """Toxicity by nearest labelled examples.
 
-Features are a text's words and the openings of its longer words. The vocabulary is the ``TERMS``
-that the labels of a bounded sample of labelled rows (``SAMPLE`` for each label) have most unevenly,
-by rank, so it is chosen alike at every size of the sample. A term's weight is its inverse document
-frequency, counted over all documents, times its correlation with the label, which keeps chance
-terms of small samples light. Examples are the sample's rows, and
-the nearest are those of largest cosine of such vectors, found exactly: the examples lie in
-blocks, the index has for each term its largest weight in each block, and blocks are evaluated in
-descending order of their upper bound until no further one can hold a neighbour.
+Features are a text's words and the openings of its longer words; the vocabulary is all that the
+examples have. Examples are a bounded sample of labelled rows (``SAMPLE`` for each label), whole. A
+term's weight is its inverse document frequency, counted over all documents, times its correlation
+with the label in the sample: chance terms weigh little, but every term counts.
+
+The nearest examples are those of largest cosine of such vectors, found exactly by an inverted index
+with block maxima. The lists of rarer terms are added up whole; those of the ``LONG`` terms that most
+examples have are held by blocks of examples, with each block's largest weight, and blocks are
+opened in descending order of what their examples can still reach, until none can hold a neighbour.
 
 A neighbour votes with a weight that falls with its distance; votes are weighted so that the
 sample stands for all labelled rows, and an isotonic fit of left-out votes makes them
-probabilities. A text without any term of the vocabulary scores as such examples are labelled.
+probabilities. A text that shares no term with any example scores as the labels are on the whole.
+
+Terms are known by their 64-bit hashes, so that a worker holds arrays and no dictionary of words.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainproof.llm.common import written
+from chainproof.llm.common import mixed, sliced, written
 
-#: Labelled rows of each label that the model is fitted on, and terms of its vocabulary, at most.
-SAMPLE, TERMS = 4000, 4096
-#: Least examples that have a term.
-EXAMPLES = 3
-#: Neighbours that vote; examples in a block.
-NEIGHBOURS, BLOCK = 15, 64
-#: Words whose features a worker keeps; beyond it the memory starts anew.
-MEMORY = 200_000
+#: Labelled rows of each label that the model is fitted on, at most.
+SAMPLE = 1000
+#: Neighbours that vote; examples in a block; terms that are held by blocks; blocks opened first.
+NEIGHBOURS, BLOCK, LONG, FIRST = 15, 64, 2048, 4
+#: Terms whose counts go together in one row; characters beyond which a text's words are counted first.
+CHUNK, GIANT = 8192, 4_000_000
 
 _word = re.compile(r"\w+")
-
-
-def features(word: str) -> tuple[str, ...]:
-    """What a word stands for: itself, and its openings of four to seven letters."""
-    return (word, *(f"^{word[:n]}" for n in range(4, min(8, len(word)))))
-
-
-class _Terms(dict):
-    """Word to the numbers of its terms, of those in the vocabulary."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        out = tuple(self.vocabulary[f] for f in features(word) if f in self.vocabulary)
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = out
-        return out
-
-
-def counted(text: str | None, terms: _Terms) -> Counter:
-    """How often the text has each term of the vocabulary."""
-    out: Counter = Counter()
-    for got in map(terms.__getitem__, _word.findall((text or "").lower())):
-        if got:
-            out.update(got)
-    return out
+_rng = np.random.default_rng(20_240_311)
+_PLACE = _rng.integers(1, 1 << 63, 7, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SIZE = _rng.integers(1, 1 << 63, 8, dtype=np.uint64)
+
+
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, word) of what words stand for: each word itself, and its openings of four to seven
+    letters where it is longer."""
+    n = len(words)
+    size = np.fromiter(map(len, words), np.int64, n)
+    sums = np.cumsum(np.array(words, "U7").view(np.uint32).reshape(n, 7).astype(np.uint64) * _PLACE, axis=1)
+    hashes, owners = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)], [np.arange(n)]
+    for k in range(4, 8):
+        on = np.flatnonzero(size > k)
+        hashes.append(mixed(sums[on, k - 1] ^ _SIZE[k]))
+        owners.append(on)
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def spelled(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of texts; and of each occurrence the text, the word and how many it is."""
+    words = [_word.findall(t.lower()) if t and len(t) < GIANT else Counter(m[0] for m in _word.finditer((t or "").lower())) for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    times = np.concatenate([np.ones(len(w), np.int64) if isinstance(w, list) else np.fromiter(w.values(), np.int64, len(w)) for w in words])
+    return list(number), np.repeat(np.arange(len(texts)), sizes), ids, times
+
+
+def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each text: places in the sorted hashes of ``vocabulary``, or where there is
+    none the hashes themselves; ascending."""
+    words, text, ids, times = spelled(texts)
+    if not words or vocabulary is not None and not len(vocabulary):
+        return [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+    term, owner = hashed(words)
+    own = np.unique(term) if vocabulary is None else vocabulary
+    place = np.minimum(np.searchsorted(own, term), len(own) - 1)
+    known = own[place] == term
+    place, owner = place[known], owner[known]
+    place = place[np.argsort(owner, kind="stable")]
+    n = np.bincount(owner, minlength=len(words))
+    first = np.cumsum(n) - n
+    m = n[ids]  # terms of each occurrence
+    at = np.repeat(first[ids] - np.cumsum(m) + m, m) + np.arange(m.sum())
+    key, back = np.unique(np.repeat(text, m) * len(own) + place[at], return_inverse=True)
+    counts = np.bincount(back, np.repeat(times, m), minlength=len(key)).astype(np.int64)
+    cuts = np.searchsorted(key, np.arange(1, len(texts)) * len(own))
+    terms = key % len(own) if vocabulary is not None else own[key % len(own)]
+    return list(zip(np.split(terms, cuts), np.split(counts, cuts), strict=True))
 
 
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors."""
+    """Inverted index of unit vectors (terms, weights) with block maxima for the terms of most examples."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, idf: np.ndarray):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         heavy = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        order = np.array(sorted(range(len(vectors)), key=lambda i: (heavy[i], i)), dtype=np.int64)  # like texts share blocks
-        self.idf, self.order, self.labels, self.ids = idf, order, labels[order], [ids[i] for i in order]
-        self.blocks = max(1, -(-len(order) // BLOCK))
-        doc = np.concatenate([np.full(len(vectors[i][0]), k) for k, i in enumerate(order)] or [[]]).astype(np.int64)
-        term = np.concatenate([vectors[i][0] for i in order] or [[]]).astype(np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order] or [[]]).astype(np.float64)
-        by = np.lexsort((doc, term))
-        self.doc, self.weight = doc[by], weight[by]
-        slot = term[by] * self.blocks + doc[by] // BLOCK
-        self.cut = np.searchsorted(slot, np.arange(len(idf) * self.blocks + 1))
-        self.top = np.zeros(len(idf) * self.blocks)
-        np.maximum.at(self.top, slot, self.weight)
-        self.top = self.top.reshape(len(idf), self.blocks)
-
-    def unit(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a text's vector of length one."""
-        terms = np.fromiter(counts.keys(), np.int64, len(counts))
-        weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[terms]
-        size = math.sqrt(float(weights @ weights))
-        return (terms, weights / size) if size else (terms[:0], weights[:0])
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (heavy[i], i)), dtype=np.int64)  # like texts share blocks
+        self.place = np.argsort(self.order)
+        self.blocks = max(1, -(-len(vectors) // BLOCK))
+        none = np.zeros(0, np.int64)
+        doc = np.concatenate([none, *(np.full(len(vectors[i][0]), k) for k, i in enumerate(self.order))]).astype(np.int32)
+        term = np.concatenate([none, *(vectors[i][0] for i in self.order)])
+        weight = np.concatenate([none, *(vectors[i][1] for i in self.order)]).astype(np.float32)
+        df = np.bincount(term, minlength=n_terms)
+        long = np.argsort(-df, kind="stable")[:LONG]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[long] = np.arange(len(long))
+        column = self.column[term]
+        on = column >= 0
+        self.dense = np.zeros((len(long), self.blocks, BLOCK), np.float32)
+        self.dense[column[on], doc[on] // BLOCK, doc[on] % BLOCK] = weight[on]
+        self.top = self.dense.max(axis=2)
+        by = np.argsort(term[~on], kind="stable")
+        self.doc, self.weight = doc[~on][by], weight[~on][by]
+        df[long] = 0
+        self.cut = np.concatenate([[0], np.cumsum(df)])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k largest cosines over 0, ties to the smaller example; the
-        example ``without`` is left out."""
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = weights @ self.top[terms]
-        ids, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        turn = np.argsort(-bounds, kind="stable")
-        at, step = 0, 2
-        while at < len(turn):
-            todo = turn[at : at + step]
-            todo = todo[(bounds[todo] > 0) & (bounds[todo] >= worst - 1e-9)]
-            if not len(todo):
-                break
-            slots = (terms[:, None] * self.blocks + todo[None, :]).ravel()
-            a, n = self.cut[slots], self.cut[slots + 1] - self.cut[slots]
-            places = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-            docs = self.doc[places]
-            sums = np.bincount(docs, self.weight[places] * np.repeat(np.repeat(weights, len(todo)), n))
-            found = np.unique(docs)
-            found = found[found != without]
-            ids, cosines = np.concatenate([ids, found]), np.concatenate([cosines, sums[found]])
-            best = np.lexsort((ids, -cosines))[:k]
-            ids, cosines = ids[best], cosines[best]
-            worst = cosines[-1] if len(ids) == k else 0.0
-            at, step = at + step, 8
-        return ids, cosines
+        """(examples, cosines) of the k largest cosines over 0, ties to the first in the index's order;
+        the example ``without`` is left out. Examples are numbered as given."""
+        a = self.cut[terms]
+        n = self.cut[terms + 1] - a
+        places = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sums = np.bincount(self.doc[places], self.weight[places] * np.repeat(weights, n), minlength=self.blocks * BLOCK).astype(np.float64)
+        sums = sums.reshape(self.blocks, BLOCK)
+        if without >= 0:
+            sums[divmod(self.place[without], BLOCK)] = -np.inf
+        columns = self.column[terms]
+        on = columns >= 0
+        open_ = np.ones(self.blocks, bool)
+        if on.any():
+            columns, q = columns[on], weights[on].astype(np.float32)
+            bound = sums.max(axis=1) + q @ self.top[columns] + 1e-6
+            turn = np.argsort(-bound, kind="stable")
+            best = np.zeros(0)
+            for todo in (turn[:FIRST], turn[FIRST:]):
+                least = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else 0.0
+                todo = todo[bound[todo] >= max(least, 2e-6)]
+                if 2 * len(todo) > self.blocks:  # whole lists are read faster than parts of them
+                    sums[todo] += (q @ self.dense[columns].reshape(len(q), -1)).reshape(-1, BLOCK)[todo]
+                else:
+                    sums[todo] += (q @ self.dense[columns[:, None], todo].reshape(len(q), -1)).reshape(-1, BLOCK)
+                best = np.concatenate([best, sums[todo].ravel()])
+            open_[:] = bound >= max(least, 2e-6)
+        found = np.flatnonzero((sums > 0) & open_[:, None])
+        s = sums.ravel()[found]
+        if len(found) > k:
+            found, s = (x[s >= np.partition(s, len(s) - k)[len(s) - k]] for x in (found, s))
+        first = np.lexsort((found, -s))[:k]
+        return self.order[found[first]], s[first]
 
 
 class Model:
-    """Index, class weights and calibration."""
+    """Vocabulary, weights, index, class weights and calibration."""
 
-    def __init__(self, vocabulary: dict[str, int], index: Index | None, per_label: tuple[float, float], empty: float):
-        self.vocabulary, self.index, self.per_label, self.empty = vocabulary, index, per_label, empty
+    def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, base: float):
+        self.vocabulary, self.weight, self.base = vocabulary, weight.astype(np.float32), base
+        self.index = Index([], len(vocabulary))
+        self.labels, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.per_label = (1.0, 1.0)
         self.knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of a text's vector of length one."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        terms, w = terms[w > 0], w[w > 0]
+        return terms, w / np.sqrt(w @ w) if len(w) else w
+
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, without) if self.index else (np.zeros(0, np.int64), np.zeros(0))
+        ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, without) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(ids):
             return None, ids, cosines
-        toxic = self.index.labels[ids]
+        toxic = self.labels[ids]
         w = np.where(toxic == 1, self.per_label[1], self.per_label[0]) / (1.05 - np.minimum(cosines, 1.0))
         return float(w[toxic == 1].sum() / w.sum()), ids, cosines
 
     def score(self, raw: float | None) -> float:
-        return float(min(1.0, max(0.0, self.empty if raw is None else np.interp(raw, *self.knots))))
+        return float(min(1.0, max(0.0, self.base if raw is None else np.interp(raw, *self.knots))))
+
+    def judged(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[float, np.ndarray, np.ndarray]]]]:
+        """Slices of the batches, and for each row score, nearest examples and cosines."""
+        for batch in sliced(batches, column):
+            out = []
+            for t, n in counted(batch.column(column).to_pylist(), self.vocabulary):
+                raw, ids, cosines = self.vote(*self.unit(t, n))
+                out.append((self.score(raw), ids, cosines))
+            yield batch, out
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +205,63 @@ def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np
 
 
 def may_learn(key: Column) -> Column:
-    """Rows whose labels a model may learn from; the others are held out."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 != 0
+    """Rows whose labels a model may learn from; the others are held out. False for a null key."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 != 0, F.lit(False))
+
+
+def held_out(key: Column) -> Column:
+    """Rows of the held-out fifth. False for a null key, which has no label to learn from either."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def _document_frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """Documents that have each term, and all documents. Each task counts its own; the counts go in
+    chunks of terms, so what meets is in proportion to tasks and vocabulary."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    schema, names = "chunk long, part binary", ["chunk", "part"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, rows = shared.value, 0
+        df = np.zeros(len(vocabulary), np.int64)
+        for batch in sliced(batches, "text"):
+            rows += batch.num_rows
+            found = counted(batch.column("text").to_pylist(), vocabulary)
+            df += np.bincount(np.concatenate([t for t, _ in found]), minlength=len(df))
+        some = [c for c in range(0, len(df), CHUNK) if df[c : c + CHUNK].any()]
+        parts = [np.array([rows], np.int64).tobytes(), *(df[c : c + CHUNK].tobytes() for c in some)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *(c // CHUNK for c in some)], pa.int64()), pa.array(parts, pa.binary())], names=names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, x in zip(batch.column("chunk").to_pylist(), batch.column("part"), strict=True):
+                v = np.frombuffer(x.as_buffer(), np.int64)
+                own[c] = own[c] + v if c in own else v.copy()
+        for c, v in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=names)
+
+    df, rows = np.zeros(len(vocabulary)), 0
+    for r in texts.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():  # the vocabulary's size
+        v = np.frombuffer(r["part"], np.int64)
+        if r["chunk"] < 0:
+            rows = int(v[0])
+        else:
+            df[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(v)] = v
+    return df, rows
+
+
+def _examples(texts: DataFrame, sample: DataFrame) -> DataFrame:
+    """(id, y, terms, counts) of the sample's different texts, terms as hashes in binary."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            rows = [(t.tobytes(), n.astype(np.int32).tobytes()) for t, n in counted(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))], names=["id", "y", "terms", "counts"])
+
+    one = texts.join(F.broadcast(sample), "id").select("id", "y", "text")  # 2 * SAMPLE ids at most
+    found = written(one.mapInArrow(spell, "id long, y int, terms binary, counts binary").withColumn("hash", F.xxhash64("terms", "counts")), "examples")
+    first = found.groupBy("hash", "y").agg(F.min("id").alias("id"))
+    return written(found.join(first, ["hash", "y", "id"], "left_semi").dropDuplicates(["hash", "y", "id"]).drop("hash"), "examples")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -177,77 +280,43 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         part = y.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
     base = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1) if totals else 0.0
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x in batch.column("text").to_pylist():
-                c: Counter = Counter()
-                for w, n in Counter(_word.findall((x or "").lower())).items():
-                    for f in features(w):
-                        c[f] += n
-                rows.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(c) for c in rows], pa.list_(pa.string())), pa.array([list(c.values()) for c in rows], pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
-
-    examples = texts.join(F.broadcast(sample), "id").select("id", "y", "text")  # 2 * SAMPLE ids at most
-    examples = written(examples.mapInArrow(spelled, "id long, y int, terms array<string>, counts array<long>").withColumn("hash", F.xxhash64("terms", "counts")), "examples")
-    examples = written(examples.join(examples.groupBy("hash", "y").agg(F.min("id").alias("id")), ["hash", "y", "id"], "left_semi").drop("hash"), "examples")
-    n = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
+    table = _examples(texts, sample)
+    rows = sorted(((r["id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int32)) for r in table.collect()), key=lambda r: r[:2])  # 2 * SAMPLE rows at most
+    y_of = np.array([r[1] for r in rows], np.int64)
+    n1 = int(y_of.sum())
+    n0 = len(y_of) - n1
     if not n0 or not n1:
-        return Model({}, None, (1.0, 1.0), base)
-
-    by_term = examples.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("m"))
-    a, m = F.col("a").cast("double"), F.col("m").cast("double")
-    off = a * n0 - (m - a) * n1
-    chi = (n0 + n1) * off * off / (float(n0) * n1 * m * (n0 + n1 - m))
-    ranked = by_term.where((F.col("m") >= EXAMPLES) & (F.col("m") < n0 + n1)).withColumn("chi", chi).orderBy(F.desc("chi"), "term")
-    chosen = ranked.limit(TERMS).select("term", "chi").collect()  # TERMS rows at most
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
-
-    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, df, rows = _Terms(vocabulary), Counter(), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for x in batch.column("text").to_pylist():
-                df.update(counted(x, terms).keys())
-        df[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
-
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))], dtype=np.float64))) + 1
-    idf *= np.sqrt(np.array([r["chi"] for r in chosen], dtype=np.float64) / (n0 + n1))
-
-    def in_vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[(vocabulary[f], c) for f, c in zip(fs, cs, strict=True) if f in vocabulary] for fs, cs in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([[x for x, _ in r] for r in rows], pa.list_(pa.int64())), pa.array([[x for _, x in r] for r in rows], pa.list_(pa.int64()))], names=["id", "y", "terms", "counts"])
-
-    rows = sorted(examples.mapInArrow(in_vocabulary, "id long, y int, terms array<long>, counts array<long>").collect(), key=lambda r: (r["id"], r["y"], r["terms"], r["counts"]))  # 2 * SAMPLE rows of TERMS at most
-    labels_of = np.array([r["y"] for r in rows])
-    maker = Index([], np.zeros(0, np.int64), [], idf)
-    vectors = [maker.unit(Counter(dict(zip(r["terms"], r["counts"], strict=True)))) for r in rows]
-    per_label = (totals[0] / n0, totals[1] / n1)
-    without = np.array([not len(v[0]) for v in vectors])
-    of = lambda v: float((without & (labels_of == v)).sum()) * per_label[v]
-    empty = (of(1) + 0.5 * base) / (of(0) + of(1) + 0.5) if without.any() else base
-    model = Model(vocabulary, Index(vectors, labels_of, [r["id"] for r in rows], idf), per_label, empty)
-
-    shared = spark.sparkContext.broadcast((model, vectors))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), base)
+
+    vocabulary = np.unique(np.concatenate([r[2] for r in rows]))
+    numbered = [(np.searchsorted(vocabulary, t), n) for _, _, t, n in rows]
+    m = np.bincount(np.concatenate([t for t, _ in numbered]), minlength=len(vocabulary)).astype(np.float64)
+    a = np.bincount(np.concatenate([t for (t, _), v in zip(numbered, y_of, strict=True) if v] or [np.zeros(0, np.int64)]), minlength=len(vocabulary)).astype(np.float64)
+    correlation = np.abs(a * n0 - (m - a) * n1) / np.sqrt(float(n0) * n1 * m * np.maximum(n0 + n1 - m, 1e-9))
+    df, count = _document_frequencies(texts.select("text"), vocabulary)
+    model = Model(vocabulary, (np.log((1 + count) / (1 + df)) + 1) * correlation, base)
+    model.labels, model.ids = y_of, np.array([r[0] for r in rows], np.int64)
+    model.per_label = (totals[0] / n0, totals[1] / n1)
+    model.index = Index([model.unit(t, n) for t, n in numbered], len(vocabulary))
+
+    shared = spark.sparkContext.broadcast(model)
+    same = lambda i, y, t, n: (i, y, xxhash.xxh3_64_intdigest(bytes(t) + bytes(n)))
+    place = spark.sparkContext.broadcast({same(i, y, t.tobytes(), n.tobytes()): at for at, (i, y, t, n) in enumerate(rows)})
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vectors = shared.value
-        place = {int(i): p for p, i in enumerate(model.index.order)}
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            raw = [model.vote(*vectors[i], without=place[i])[0] for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.float64())], names=["id", "raw"])
-
-    got = spark.range(0, len(rows), 1, 8).mapInArrow(left_out, "id long, raw double").where("raw is not null").collect()
+        model, places = shared.value, place.value
+        for batch in sliced(batches, "terms"):
+            raw, at = [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "terms", "counts")), strict=True):
+                at.append(places[same(*row)])
+                terms = np.searchsorted(model.vocabulary, np.frombuffer(row[2], np.uint64))
+                raw.append(model.vote(*model.unit(terms, np.frombuffer(row[3], np.int32)), without=at[-1])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw, pa.float64())], names=["i", "raw"])
+
+    got = table.repartition(16).mapInArrow(left_out, "i long, raw double").where("raw is not null").collect()
     if got:
-        raw = np.array([r["raw"] for r in got])
-        own = labels_of[[r["id"] for r in got]]
-        model.knots = isotonic(raw, own, np.where(own == 1, per_label[1], per_label[0]))
+        raw, own = np.array([r["raw"] for r in got]), y_of[[r["i"] for r in got]]
+        model.knots = isotonic(raw, own, np.where(own == 1, model.per_label[1], model.per_label[0]))
     return model
 
 
@@ -255,8 +324,9 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     """A row for each row of ``docs``: doc_id, score, predicted (score >= 0.5) and evidence, the
     nearest three examples (doc_id, label, cosine).
 
-    Null and empty texts have no terms and score as such examples do; null and repeated keys are
-    scored row by row; an empty table gives no rows; other columns are ignored.
+    Null and empty texts have no terms and score as the labels are on the whole; null and repeated
+    keys are scored row by row, and equal texts score alike; an empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, label: int, cosine: double>>"
@@ -264,15 +334,9 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        terms = _Terms(model.vocabulary)
-        for batch in batches:
-            scores, evidence = [], []
-            for x in batch.column("text").to_pylist():
-                c = counted(x, terms)
-                raw, ids, cosines = model.vote(*model.index.unit(c)) if c and model.index else (None, (), ())
-                scores.append(model.score(raw))
-                evidence.append([{"doc_id": model.index.ids[i], "label": int(model.index.labels[i]), "cosine": float(v)} for i, v in list(zip(ids, cosines, strict=True))[:3]])
-            s = np.array(scores, dtype=np.float64)
+        for batch, rows in model.judged(batches, "text"):
+            s = np.array([r[0] for r in rows], dtype=np.float64)
+            evidence = [[{"doc_id": int(model.ids[i]), "label": int(model.labels[i]), "cosine": min(1.0, float(v))} for i, v in zip(ids[:3], cosines[:3], strict=True)] for _, ids, cosines in rows]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(evidence, kinds)], names=["doc_id", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -281,19 +345,11 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 def kept(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that score 0.5 or more. Rows are judged one by one
-    where they are read; nothing is joined back."""
+    where they are read; nothing is joined back, so null and repeated keys do not matter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        terms = _Terms(model.vocabulary)
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            keep = []
-            for x in batch.column(at).to_pylist():
-                c = counted(x, terms)
-                raw = model.vote(*model.index.unit(c))[0] if c and model.index else None
-                keep.append(model.score(raw) < 0.5)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch, rows in shared.value.judged(batches, text):
+            yield batch.filter(pa.array([r[0] < 0.5 for r in rows], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -160,8 +160,16 @@ def test_toxicity(spark, none):
     rows = [(i, ("fine words here again " if i % 4 else "fine words scum here ") + f"t{i}") for i in range(400)] + [(900, None), (901, "")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r for r in toxicity.score(table, toxicity.fit(table, labels)).collect()}
+    model = toxicity.fit(table, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(table, model).collect()}
     assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400)) and got[900]["predicted"] == got[901]["predicted"] == 0
+    # null and repeated keys, equal and very long texts, columns with the names of results
+    odd = spark.createDataFrame([(None, "scum", 1.0), (1, "scum", 2.0), (1, "scum", 2.0), (7, "fine words " * 100_000, None), (8, "scum " * 50_000, 0.0)], "doc_id long, text string, score double")
+    rows = toxicity.score(odd, model).collect()
+    assert [r["predicted"] for r in rows] == [1, 1, 1, 0, 1] and len({r["score"] for r in rows[:3]}) == 1
+    assert toxicity.kept(odd, model).collect() == odd.where("doc_id = 7").collect()
+    held = spark.createDataFrame([(None,), (5,)], "doc_id long").select(toxicity.held_out(F.col("doc_id"))).collect()
+    assert [r[0] for r in held] == [False, zlib.crc32(b"5") % 5 == 0]
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
 
 
@@ -178,18 +186,25 @@ def test_toxicity_of_few_examples(spark, clean, toxic):
     assert sum(got[10_000 + i] for i in range(20)) >= 16 and sum(got[10_000 + i] for i in range(20, 100)) <= 4
 
 
-def test_nearest_is_exhaustive():
+def test_nearest_is_exhaustive(monkeypatch):
     rng = np.random.default_rng(2)
-    idf = rng.random(40) + 1
-    index = toxicity.Index([], np.zeros(0, np.int64), [], idf)
-    vectors = [index.unit(Counter({int(t): int(n) for t, n in zip(rng.choice(40, 4, replace=False), rng.integers(1, 4, 4), strict=True)})) for _ in range(700)]
-    index = toxicity.Index(vectors, np.zeros(700, np.int64), list(range(700)), idf)
-    dense = np.zeros((700, 40))
-    for k, i in enumerate(index.order):
-        dense[k, vectors[i][0]] = vectors[i][1]
-    for t, w in vectors[:60]:
-        _, got = index.nearest(t, w, 15)
-        assert np.allclose(np.sort(got)[::-1], np.sort(dense[:, t] @ w)[::-1][:15])
+    monkeypatch.setattr(toxicity, "LONG", 12)
+    for spread in (40, 400):
+        vectors = []
+        for _ in range(700):
+            t = np.unique(np.minimum((rng.random(6) ** 3 * spread).astype(np.int32), spread - 1))
+            w = rng.random(len(t)) + 0.1
+            vectors.append((t, w / np.sqrt(w @ w)))
+        vectors[5] = (vectors[5][0][:0], vectors[5][1][:0])
+        index = toxicity.Index(vectors, spread)
+        dense = np.zeros((700, spread))
+        for i, (t, w) in enumerate(vectors):
+            dense[i, t] = w
+        for i, (t, w) in enumerate(vectors[:60]):
+            ids, got = index.nearest(t, w, 15)
+            want = np.sort(dense[:, t] @ w)[::-1][:15]
+            assert np.allclose(got, want[want > 0], atol=1e-5) and np.allclose(dense[ids][:, t] @ w, got, atol=1e-5)
+            assert i not in index.nearest(t, w, 15, without=i)[0]
 
 
 def test_decontamination(spark, docs, none):
