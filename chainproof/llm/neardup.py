@@ -3,16 +3,20 @@
 Each of ``PERMUTATIONS`` permutations of the 64-bit shingle hashes is evaluated once and gives two
 signature values, the minimum and the maximum over the document's set; both agree between two
 sets with probability of their Jaccard similarity. Bands of four values (both values of two
-permutations) are bucket keys: at similarity 0.75 a pair misses all 32 bands with probability
-below 6e-6.
+permutations) are bucket keys. Minimum and maximum of one permutation agree together with probability
+I (I - 1) / (U (U - 1)), so of sets of 17 shingles or more a pair of similarity 0.75 misses all 32
+bands with probability below 1e-5. Sets of up to ``EXACT`` shingles, for which that is more, and all
+that can be similar to them, have further keys: their first shingles in one order of all, of which two
+similar sets share one for certain.
 
 Links are confirmed on the full shingle sets. Documents of one set are one class and never paired.
-A bucket is first settled against its smallest member only. The documents of buckets that still
+A bucket is first settled against its smallest member only. The classes of buckets that still
 hold more than one component are then joined exactly: their shingles are put into one order of
 rising frequency, and two of them can only be similar if they share one early enough in both orders
-that as many follow it as a link needs (prefix and positional filter). Of each such shingle, the
-documents outside its largest component are compared with all others of other components, in
-blocks. So every pair that shares a bucket is linked, is in one component, cannot be linked, or has
+that as many follow it as a link needs (prefix and positional filter), and are of like size. Of each
+such shingle, the classes outside its largest component are joined with all others of other
+components, in a grid of blocks of at most about ``BLOCK`` rows on either side, so that no shingle is
+one task. So every pair that shares a bucket is linked, is in one component, cannot be linked, or has
 been compared, and a group of copies costs rows in proportion to its size.
 """
 
@@ -27,22 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.common import written
+from chainproof.llm.common import mixed, numbered_rows, sliced, written
 from chainproof.llm.components import connected_components
 
 PERMUTATIONS, BANDS = 64, 32
-#: Documents outside a shingle's largest component that one block compares with the others.
+#: Sets of so many shingles at most get the further keys that miss none.
+EXACT = 16
+#: Classes of one shingle on either side of a block of comparisons, about.
 BLOCK = 1024
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
-MEMORY = 100_000
-#: Rows of an Arrow batch that are in work at a time.
-SLICE = 500
+MEMORY = 50_000
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FIRST, _SECOND = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 class _Words(dict):
@@ -54,12 +57,6 @@ class _Words(dict):
 _words = _Words()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _FIRST
-    x = (x ^ (x >> np.uint64(33))) * _SECOND
-    return x ^ (x >> np.uint64(33))
-
-
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles. A-Z are lower-cased, words are
     split at ASCII white space; a text of fewer words is one shingle, one without words none."""
@@ -72,7 +69,7 @@ def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
     total = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
         total += h[k : n - width + 1 + k] * _PLACE[k]
-    return np.unique(_mixed(total))
+    return np.unique(mixed(total))
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -85,8 +82,8 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
         key = np.full(len(sets), band, np.uint64)
         for k in range(per):
             y = x * _MULTIPLY[band * per + k] + _ADD[band * per + k]
-            key = _mixed(key * _PLACE[5] + np.minimum.reduceat(y, starts))
-            key = _mixed(key * _PLACE[6] + np.maximum.reduceat(y, starts))
+            key = mixed(key * _PLACE[5] + np.minimum.reduceat(y, starts))
+            key = mixed(key * _PLACE[6] + np.maximum.reduceat(y, starts))
         out[:, band] = key
     return out.view(np.int64)
 
@@ -104,42 +101,50 @@ def _runs(sets: list[np.ndarray], most: int = 100_000) -> Iterator[list[int]]:
         yield run
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set (s1, s2) and its bucket keys; the last three
+def first_shingles(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The further bucket keys of a small set (sorted): a similar one shares at least one of them."""
+    n = len(shingles)
+    if not n or n > EXACT * 100 // percent:
+        return np.zeros(0, np.int64)
+    return mixed(shingles[: n - -(-percent * n // 100) + 1] * _PLACE[7]).view(np.int64)
+
+
+def signatures(rows: DataFrame, row: str, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """row, doc_id, n_shingles, a 128-bit hash of the set (s1, s2) and its bucket keys; the last three
     null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for batch in sliced(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             if len(_words) > MEMORY:
                 _words.clear()
             keys: list = [None] * len(sets)
             for run in _runs(sets):
-                for i, row in zip(run, band_keys([sets[i] for i in run]), strict=True):
-                    keys[i] = row
+                for i, bands in zip(run, band_keys([sets[i] for i in run]), strict=True):
+                    keys[i] = np.concatenate([bands, first_shingles(sets[i], percent)])
             whole = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([w[0] for w in whole], pa.int64()), pa.array([w[1] for w in whole], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "keys"],
+                [batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([w[0] for w in whole], pa.int64()), pa.array([w[1] for w in whole], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "n_shingles", "s1", "s2", "keys"],
             )
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    of = rows.select(F.col(row).alias("row"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return of.mapInArrow(sign, "row long, doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
-def _sets(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``, from their whole texts."""
+def _sets(rows: DataFrame, row: str, text: str, chosen: DataFrame) -> DataFrame:
+    """(id, shingles) of the classes in ``chosen`` (id, row), from the whole text of that row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for batch in sliced(batches, "text"):
             sets = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
             if len(_words) > MEMORY:
                 _words.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    # the ids grow with the corpus, so the join is the same at every size: never a broadcast
-    return rows.join(ids.hint("merge"), "id", "left_semi").mapInArrow(make, "id long, shingles array<long>")
+    texts = rows.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
+    # the rows grow with the corpus, so the join is the same at every size: never a broadcast
+    return texts.join(chosen.hint("merge"), "row").select("id", "text").mapInArrow(make, "id long, shingles array<long>")
 
 
 def _early_shingles(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
@@ -158,8 +163,8 @@ def _early_shingles(sets: DataFrame, placed: DataFrame, percent: int) -> DataFra
 
 def _mixed_buckets(placed: DataFrame) -> DataFrame:
     """The rows of buckets (key) that hold more than one component."""
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return placed.join(written(mixed, "mixed"), "key", "left_semi")
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return placed.join(written(several, "mixed"), "key", "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,25 +175,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that
-    confirmed links reach), kept (doc_id = component_id).
-
-    Empty sets are linked with nothing. Rows with a null key are returned, linked with nothing,
-    with a null component and kept; rows that share a key are documents each, in the component of
-    their own text. An empty table gives no rows; other columns are ignored. ``docs`` is read
-    again for the texts of candidates, so hand in a table or a written result.
-    """
-    signed = written(signatures(docs, key, text), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = written(classes, "classes")
-
-    rows = classes.select("id", "n", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    members = written(rows.join(written(buckets, "buckets"), "key"), "members")
+def _further_pairs(early: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that ``early`` (key, id, n, i, component) leaves possible: of
+    each key, those outside the largest component with all others."""
+    sizes = early.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+        F.max(F.struct("c", "component")).alias("l"), F.sum("c").alias("m"))
+    grid = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = written(sizes.select("key", F.col("l.component").alias("largest"), grid(F.col("m")).alias("across"), grid(F.col("m") - F.col("l.c")).alias("down")), "sizes")
+    # sets of one band or of neighbouring bands alone can be similar
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    rows = early.join(sizes, "key").withColumn("band", band)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = rows.where("component <> largest").withColumn("x", every("across")).withColumn("y", deal("down")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    one = one.select("key", "band", "x", "y", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("i").alias("o_i"), F.col("component").alias("o_component"))
+    two = rows.where("down > 0").withColumn("y", every("down")).withColumn("x", deal("across")).select("key", "band", "x", "y", "id", "n", "i", "component", "largest")
+    most = F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i"))  # from here on in both orders
+    once = (F.col("component") == F.col("largest")) | (F.col("o") < F.col("id"))  # of two outside the largest, the smaller first
+    able = 100 * most >= percent * (F.col("n") + F.col("o_n") - most)
+    met = one.join(two, ["key", "band", "x", "y"]).where((F.col("component") != F.col("o_component")) & once & able)
+    return met.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
+
+
+def _grouped(rows: DataFrame, row: str, key: str, text: str, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component (a number; null for empty sets) and component_id (its smallest
+    doc_id) of each row."""
+    signed = written(signatures(rows, row, key, text, percent), "signatures")
+    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers that are written with the classes
+
+    keyed = classes.select("id", "n", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    members = written(keyed.join(written(buckets, "buckets"), "key"), "members")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sizes alone rule it out
     # the full sets of all that share a bucket: the only time that texts are shuffled
-    sets = written(_sets(docs, key, text, members.select("id").distinct()), "sets")
+    sets = written(_sets(rows, row, text, classes.select("id", "row").join(members.select("id").distinct(), "id", "left_semi")), "sets")
     star = members.where("id <> lead").where(near(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = written(confirmed(written(star, "pairs"), sets, percent), "links")
     components = written(connected_components(links), "components")
@@ -196,28 +217,39 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # buckets that still hold more than one component
     placed = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = written(_mixed_buckets(placed), "placed")
-    early = written(_early_shingles(sets, placed, percent), "early")
-    early = written(_mixed_buckets(early), "early")
-    largest = early.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-    outside = early.join(written(largest, "largest"), "key").where("component <> largest")
-    outside = outside.withColumn("block", F.floor((F.row_number().over(W.partitionBy("key").orderBy("id")) - 1) / BLOCK))
-    outside = written(outside.select("key", "block", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("i").alias("o_i"), F.col("component").alias("o_component"), "largest"), "outside")
-    blocks = outside.agg(F.max("block")).first()[0]
-    most = F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i"))  # from here on in both orders
-    more = []
-    for block in range(0 if blocks is None else blocks + 1):
-        now = outside.where(F.col("block") == block)
-        # each pair once: against the largest component, or the smaller id of two outside it
-        once = (F.col("component") == F.col("largest")) | (F.col("o") < F.col("id"))
-        able = 100 * most >= percent * (F.col("n") + F.col("o_n") - most)
-        pairs = now.join(early, "key").where((F.col("component") != F.col("o_component")) & once & able).select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
-        more.append(written(confirmed(written(pairs, "pairs"), sets, percent), "links"))
-    if more:
-        for x in more:
-            links = links.unionByName(x)
-        components = written(connected_components(links), "components")
-
-    of_class = classes.select("s1", "s2", "id").join(components, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    early = written(_mixed_buckets(written(_early_shingles(sets, placed, percent), "early")), "early")
+    more = written(confirmed(written(_further_pairs(early, percent), "pairs"), sets, percent), "links")
+    if not more.isEmpty():
+        components = written(connected_components(links.unionByName(more)), "components")
+
+    of_class = written(classes.select("s1", "s2", "id", "doc_id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "of_class")
+    smallest = written(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
+    named = of_class.select("s1", "s2", "component").join(smallest, "component")
+    return signed.select("row", "doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left").drop("s1", "s2")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that
+    confirmed links reach), kept (doc_id = component_id).
+
+    Null and empty texts and those without words are linked with nothing. Rows that share a key are
+    documents each, in the component of their own text. Rows with a null key are linked as any; they
+    are kept only where no document of their component has a key, and component_id is null there. An
+    empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    rows, row = numbered_rows(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    out = _grouped(rows, row, "doc_id", "text", percent)
+    out = out.withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """``docs``, all columns, with exactly one row of each component, that of the smallest key, null
+    keys last, and of rows that share it any one; and with all rows of empty sets. Rows are told
+    apart by a number of their own, so null and repeated keys do not matter."""
+    rows, row = numbered_rows(docs)
+    found = _grouped(rows, row, key, text, percent).where("component is not null").select("row", "doc_id", "component")
+    found = written(found, "found")
+    stays = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")).select("m.row")
+    goes = written(found.select("row").join(stays, "row", "left_anti"), "goes").select(F.col("row").alias(row))
+    return rows.join(goes, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

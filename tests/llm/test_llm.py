@@ -145,11 +145,59 @@ def test_near_duplicates(spark, docs, none):
             w[int(rng.integers(0, 80))] = f"e{rng.integers(0, 30)}"
         texts.append((i, " ".join(w)))
     texts += [(100, None), (101, ""), (102, "One two"), (103, "one TWO"), (104, "É é"), (105, texts[0][1].upper())]
-    rows = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = neardup.near_duplicates(table).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
     assert neardup.near_duplicates(docs).count() == len(ROWS) and neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Many components that share shingles, none of them a star of its bucket; blocks of four rows."""
+    rng = np.random.default_rng(15)
+    common, texts = [f"c{x}" for x in range(60)], []
+    for g in range(12):
+        base = common[:44] + [f"g{g}x{x}" for x in range(12)]
+        for i in range(6):
+            w = list(base)
+            for _ in range(i):
+                w[int(rng.integers(0, len(w)))] = f"e{rng.integers(0, 40)}"
+            texts.append((100 * g + i, " ".join(w)))
+    texts += [(5000, "long text " * 60_000), (5001, "long text " * 60_000 + "end")]
+    want = brute_components(texts)
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    for block in (4, 1024):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table).collect()} == want
+
+
+def test_near_duplicates_of_short_texts(spark):
+    """Sets of few shingles miss no link: 3 of 4 shingles in common."""
+    texts = []
+    for i in range(150):
+        w = [f"w{i}x{k}" for k in range(8)]
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:7]))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in texts}
+    for size in range(1, 22):
+        shingles = np.sort(np.random.default_rng(size).integers(0, 1 << 63, size + 1, dtype=np.uint64))
+        some = set(neardup.first_shingles(shingles[:size], 75))
+        assert len(some) == size - -(-75 * size // 100) + 1 and (size * 100 < 75 * (size + 1) or some & set(neardup.first_shingles(shingles, 75)) or size + 1 > 21)
+
+
+def test_near_duplicates_with_repeated_and_null_keys(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "red blue green white black pink grey brown gold teal lime navy"
+    rows = [(5, a), (3, a + " x"), (5, b), (9, b + " y"), (None, a), (None, "no key and no other of its kind at all"), (None, None), (7, None), (7, None), (9, b + " y")]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, component int")
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table).collect())
+    assert got == Counter({(5, 3, False): 1, (3, 3, True): 1, (5, 5, True): 1, (9, 5, False): 2, (None, 3, False): 1, (None, None, True): 2, (7, 7, True): 2})
+    stays = neardup.representatives(table)
+    assert stays.columns == table.columns and sorted(r["component"] for r in stays.collect()) == [1, 2, 5, 6, 7, 8]
+    same = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (None, b, "x"), (None, b, "x")], "doc_id long, text string, _row string")
+    assert sorted((str(r["doc_id"]), r["_row"]) for r in neardup.representatives(same).collect()) == [("1", "x"), ("None", "x")]
+    assert neardup.representatives(table.where("false")).count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 50), (50, 70), (80, 80)], "a long, b long")
     got = {r["id"]: r["component"] for r in connected_components(links).collect()}
