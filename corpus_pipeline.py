@@ -2,25 +2,19 @@
 stays, documents that hold benchmark passages go, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns
-a DataFrame; all but the last return the columns of ``docs``. Rows with a null doc_id cannot be
-named by a decision of the near-copy and benchmark stages and stay; see the operators for nulls
-and repeated rows elsewhere.
+a DataFrame; all but the last return the columns of ``docs``. All decisions are made for rows: rows
+with a null doc_id or one that others have are judged by their own texts, and of repeated rows that
+are copies of each other one stays. Rows without words are linked with nothing and stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chainproof.llm import decontaminate, neardup, packing, toxicity
 from chainproof.llm.common import table, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id)."""
-    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -29,14 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near-copies, and those in no group."""
-    found = neardup.near_duplicates(docs)
-    return _without(docs, written(found.where(~F.col("kept")).select("doc_id"), "copies"))
+    return neardup.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, written(hits.select("doc_id"), "hits"))
+    return decontaminate.kept(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
