@@ -10,6 +10,7 @@ from chainproof.llm.common import new_path, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into eight shards of row counts that differ by one at most (law ``rows``)."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -20,6 +21,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and its evidence for every document, by a model of the labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
@@ -51,6 +53,7 @@ def url_lists(pages: DataFrame) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deciding list entry at fetch time of every page's URL."""
     pages = table(spark, sf_dir, "pages")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
     captures = pages.select("page_id", "url", fetched.alias("fetched_at"))
@@ -59,10 +62,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-copies of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and a further one of control strings, read back from its examples."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -70,24 +75,29 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as they are in the token files that are written for it."""
     path = new_path(spark, "tokens")
     manifest = tokenfile.write_token_files(table(spark, sf_dir, "documents"), path)
     return tokenfile.read_token_files(manifest, path, digests_only=True)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector, by integer inner products."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
     return topk.exact_top_k(v.where("id % 50 = 0"), v, 5)
 
@@ -147,14 +157,14 @@ SQL: dict[str, str] = {
         from known k left join best b on k.page_id = b.page_id and b.r = 1""",
     "op10_top_k": """
         with v as (
-            select vec_id as id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+            select row_number() over () as uid, vec_id as id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as hugeint)) as v
             from embeddings
             where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        terms as (select id, unnest(range(len(v))) as t, unnest(v) as w from v),
+        terms as (select uid, id, unnest(range(len(v))) as t, unnest(v) as w from v),
         s as (
-            select q.id as query_id, c.id as vec_id, cast(sum(q.w * c.w) as bigint) as score
-            from terms q join terms c on q.t = c.t and q.id <> c.id
-            where q.id % 50 = 0 group by 1, 2),
-        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+            select q.uid, q.id as query_id, c.uid as other, c.id as vec_id, cast(sum(q.w * c.w) as bigint) as score
+            from terms q join terms c on q.t = c.t and q.uid <> c.uid
+            where q.id % 50 = 0 group by 1, 2, 3, 4),
+        r as (select *, cast(row_number() over (partition by uid order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
 }

@@ -8,10 +8,14 @@ window merges the blocks.
 
 Queries and candidates are dealt into a grid of (query block, candidate block) cells of bounded
 size; every cell is one independent group, so neither side is ever broadcast or gathered whole.
+
+All sums are exact. Rows whose products could leave 64 bits in a sum are told by their largest
+component; their scores are summed as Python integers, those of all other pairs in arrays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,31 +24,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Largest quantised component that takes part; beyond it sums of products leave 64 bits.
-LIMIT = 1 << 28
+from chainproof.llm.common import written
+
+#: The longs, and bytes that hold any score of vectors of doubles with its sign.
+_LEAST, _MOST, _BYTES = -(1 << 63), (1 << 63) - 1, 272
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """``floor(scale * x)`` of each component, in double; null for a vector that is null or holds
-    a null or non-finite component, or one whose result is over ``LIMIT`` in size (no long holds
-    the scores of such vectors)."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    bad = bad | F.exists(vector, lambda x: F.abs(x.cast("double")) > LIMIT / scale)
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
+    """``floor(scale * x)`` of each component, a whole number in double; null for a vector that is null
+    or holds a null or non-finite component, or one whose product is not finite."""
+    y = lambda x: F.lit(float(scale)) * x.cast("double")
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(y(x)) == float("inf")))
+    # doubles of 2^53 or more are whole numbers
+    whole = F.transform(vector, lambda x: F.when(F.abs(y(x)) < float(1 << 53), F.floor(y(x)).cast("double")).otherwise(y(x)))
+    return F.when(vector.isNotNull() & ~bad, whole)
 
 
 def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of the non-zero components of an array of lists."""
-    if isinstance(a, pa.ChunkedArray):
-        a = a.combine_chunks()
     sizes = np.diff(np.asarray(a.offsets))
-    values = np.asarray(a.flatten(), dtype=np.int64)
+    values = np.asarray(a.flatten(), dtype=np.float64)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     terms = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     on = values != 0
     return rows[on], terms[on], values[on]
 
 
+def _wide(v: tuple, n: int, most: int) -> np.ndarray:
+    """Which of ``n`` rows have a component over ``most``."""
+    out = np.zeros(n, bool)
+    out[v[0][np.abs(v[2]) > most]] = True
+    return out
+
+
+def _without(v: tuple, rows: np.ndarray) -> tuple:
+    """The vectors with ``rows`` (a mask) emptied, in 64 bits."""
+    on = ~rows[v[0]]
+    return v[0][on], v[1][on], v[2][on].astype(np.int64)
+
+
+def _exact(v: tuple, row: int) -> dict[int, int]:
+    on = v[0] == row
+    return dict(zip(v[1][on].tolist(), map(int, v[2][on].tolist()), strict=True))
+
+
+def _product(a: dict[int, int], b: dict[int, int]) -> int:
+    return sum(w * b[t] for t, w in a.items() if t in b)
+
+
 def scores(q: tuple, n_q: int, c: tuple, n_c: int) -> np.ndarray:
     """Inner products of ``n_q`` query rows and ``n_c`` candidates, both given as (row, term,
     weight): term at a time, into a dense (n_q, n_c) array."""
@@ -52,7 +79,7 @@ def scores(q: tuple, n_q: int, c: tuple, n_c: int) -> np.ndarray:
     if not len(q[0]) or not len(c[0]):
         return out
     n_terms = int(max(q[1].max(), c[1].max())) + 1
-    bound = max(1, int(np.abs(q[2]).max())) * max(1, int(np.abs(c[2]).max())) * n_terms
+    bound = int(np.abs(q[2]).max()) * int(np.abs(c[2]).max()) * n_terms
     if bound < 1 << 31:  # sums cannot leave 32 bits: half the memory traffic
         out = out.astype(np.int32)
     q_order, c_order = np.argsort(q[1], kind="stable"), np.argsort(c[1], kind="stable")
@@ -77,55 +104,81 @@ def scores(q: tuple, n_q: int, c: tuple, n_c: int) -> np.ndarray:
 
 def _best(k: int):
     """For one cell of the grid: each query's k best candidates of the cell."""
+    names = ["query_id", "twin", "copies", "vec_id", "score", "more"]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
 
     def cell(t: pa.Table) -> pa.Table:
         is_q = np.asarray(t["is_query"].combine_chunks().cast(pa.int8())).astype(bool)
-        ids = np.asarray(t["id"].combine_chunks())
-        qi, ci = ids[is_q], ids[~is_q]
-        order = np.argsort(ci, kind="stable")  # ties go to the smaller id
-        ci = ci[order]
-        got: list[list[np.ndarray]] = [[], [], []]
+        ids, twins, copies = (np.asarray(t[n].combine_chunks()) for n in ("id", "twin", "copies"))
+        order = np.flatnonzero(~is_q)[np.argsort(ids[~is_q], kind="stable")]  # ties go to the smaller id
+        qi, ci, q_twin, c_twin, many = ids[is_q], ids[order], twins[is_q], twins[order], copies[order]
+        got: list[tuple] = []
         if len(qi) and len(ci):
             vectors = t["v"].combine_chunks()
-            q_all, cands = vectors.filter(pa.array(is_q)), _lists(vectors.filter(pa.array(~is_q)).take(pa.array(order)))
+            q, c = _lists(vectors.filter(pa.array(is_q))), _lists(vectors.take(pa.array(order)))
+            n_terms = 1 + max(0, *(int(x[1].max()) for x in (q, c) if len(x[1])))
+            most = math.isqrt(_MOST // n_terms)
+            q_wide, c_wide = _wide(q, len(qi), most), _wide(c, len(ci), most)
+            wide = [(int(j), _exact(c, j)) for j in np.flatnonzero(c_wide)]
+            every = [_exact(c, j) for j in range(len(ci))] if q_wide.any() else []
+            q_small, c_small = _without(q, q_wide), _without(c, c_wide)
             step = max(1, (1 << 21) // len(ci))
             for at in range(0, len(qi), step):
-                part = qi[at : at + step]
-                dense = scores(_lists(q_all.slice(at, step)), len(part), cands, len(ci))
-                for row, own in zip(dense, part, strict=True):
-                    others = np.flatnonzero(ci != own)
+                part = slice(*np.searchsorted(q_small[0], [at, at + step]))
+                dense = scores((q_small[0][part] - at, q_small[1][part], q_small[2][part]), len(qi[at : at + step]), c_small, len(ci))
+                for i, row in enumerate(dense, at):
+                    left = many.copy()
+                    left[(ci == qi[i]) & (c_twin == q_twin[i])] -= 1  # the query's own row
+                    others = np.flatnonzero(left)
                     if not len(others):
                         continue
-                    row = row[others]
-                    m = max(0, len(others) - k)
-                    top = np.flatnonzero(row >= np.partition(row, m)[m])  # all ties of the k-th best
-                    top = top[np.argsort(-row[top].astype(np.int64), kind="stable")][:k]
-                    got[0].append(np.full(len(top), own))
-                    got[1].append(ci[others[top]])
-                    got[2].append(row[top].astype(np.int64))
-        columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in got]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
+                    if wide or q_wide[i]:
+                        own = _exact(q, i)
+                        exact = [_product(own, x) for x in every] if q_wide[i] else row.tolist()
+                        for j, x in () if q_wide[i] else wide:
+                            exact[j] = _product(own, x)
+                        top = np.array(sorted(others.tolist(), key=lambda j: (-exact[j], j))[:k])
+                    else:
+                        row = row[others]
+                        m = max(0, len(others) - k)
+                        top = np.flatnonzero(row >= np.partition(row, m)[m])  # all ties of the k-th best
+                        top = others[top[np.argsort(-row[top].astype(np.int64), kind="stable")][:k]]
+                        exact = dense[i - at]
+                    for j in np.repeat(top, np.minimum(left[top], k))[:k].tolist():
+                        s = int(exact[j])
+                        more = b"" if _LEAST < s < _MOST else (s + (1 << 8 * _BYTES - 1)).to_bytes(_BYTES, "big")
+                        got.append((int(qi[i]), int(q_twin[i]), i, int(ci[j]), min(max(s, _LEAST), _MOST), more))
+        q_copies = copies[is_q]
+        columns = [list(x) for x in zip(*got, strict=True)] if got else [[] for _ in names]
+        columns[2] = q_copies[np.array(columns[2], np.int64)]
+        return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
 
     return cell
 
 
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, *, query_block: int = 4096, candidate_block: int = 8192) -> DataFrame:
-    """Each query's ``k`` highest integer inner products among ``candidates``, without the row
-    that has the query's own id: query_id, rank (int, from 1), vec_id, score (long).
-
-    Both frames have ``id`` (long) and ``v`` (array of long; shorter vectors count as ending in
-    zeros). Rows with a null id or a null vector take no part. Ties go to the smaller id; a
-    repeated candidate row counts each time, a repeated query row once. All are returned where
-    there are fewer than ``k``. Empty sides give an empty result; other columns are ignored.
+    """Each query row's ``k`` highest integer inner products among ``candidates``, without the row
+    itself (one of the query's id and vector): query_id, rank (int, from 1), vec_id, score (long).
+
+    Both frames have ``id`` (long) and ``v`` (array of whole numbers in double; shorter vectors count as
+    ending in zeros). Rows with a null id or a null vector take no part. Ties go to the smaller id. A
+    repeated row counts each time, as candidate and as query; rows that share an id have results of
+    their own. All are returned where there are fewer than ``k``. A score that no long holds is given
+    as the nearest long, at its exact rank. Empty sides give an empty result; other columns are ignored.
     """
-    q = queries.where("id is not null and v is not null").select("id", "v").dropDuplicates(["id"])
-    c = candidates.where("id is not null and v is not null").select("id", "v")
+    def distinct(df: DataFrame) -> DataFrame:  # repeated rows meet before they are dealt out
+        rows = df.where("id is not null and v is not null").groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
+        return written(rows.withColumn("twin", F.xxhash64("v")), "vectors")
+
+    q, c = distinct(queries), distinct(candidates)
     n_q, n_c = (x.agg(F.count(F.lit(1))).first()[0] for x in (q.select("id"), c.select("id")))
     rows, columns = max(1, -(-n_q // query_block)), max(1, -(-n_c // candidate_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    q = q.select("id", "v", F.lit(True).alias("is_query"), deal(rows, 1).alias("gq"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("gc"))
-    c = c.select("id", "v", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("gq"), deal(columns, 2).alias("gc"))
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "twin"), F.lit(n)).cast("int")
+    own = ["id", "v", "copies", "twin"]
+    q = q.select(*own, F.lit(True).alias("is_query"), deal(rows, 1).alias("gq"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("gc"))
+    c = c.select(*own, F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("gq"), deal(columns, 2).alias("gc"))
     cells = q.unionByName(c).repartition(max(1, min(rows * columns, 200_000)), "gq", "gc").groupBy("gq", "gc")
-    best = cells.applyInArrow(_best(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = cells.applyInArrow(_best(k), "query_id long, twin long, copies long, vec_id long, score long, more binary")
+    order = W.partitionBy("query_id", "twin").orderBy(F.desc("score"), F.desc("more"), "vec_id")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("query_id", "rank", "vec_id", "score")
