@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from chainproof.llm.common import sliced
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 #: What makes a control string after its first character, "<" or "[", and any backslashes.
 _AFTER = r"\||/?s>|/?INST\]|</?SYS>>|/?SYS>>"
@@ -74,37 +76,53 @@ def render(expanded: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id", "example", "loss_start", "loss_end").agg(text.alias("text")).select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
+class _Reader:
+    """Reads one conversation back from its examples: each has to come next, with all text before it,
+    and nothing else, as its context; its reply is cut out by its spans."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.turns, self.examples, self.chars = conv, 0, 0, 0
+        self.all, self.loss, self.loss_chars = hashlib.sha256(), hashlib.sha256(), 0
+
+    def take(self, segment: str, example: int | None, context_end: int | None, a: int | None, b: int | None) -> None:
+        head, _, body = segment[len(TURN) :].partition(TEXT)
+        self.turns += 1
+        self.all.update(f"{unescape(head)}\n{unescape(body[: -len(END)])}\n".encode())
+        if example is not None:
+            if example != self.examples or context_end != self.chars:
+                raise ValueError(f"example {example} of conversation {self.conv} has {context_end} characters of context, after {self.examples} examples and {self.chars} characters")
+            reply = unescape(segment[a - context_end : b - context_end])
+            self.examples += 1
+            self.loss_chars += len(reply)
+            self.loss.update(reply.encode())
+        self.chars += len(segment)
+
+    def row(self) -> tuple:
+        return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
 def read_back(expanded: DataFrame) -> DataFrame:
-    """Parses the formatted text and the loss mask of each conversation again, a segment at a
-    time: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Reads the examples of each conversation again, a segment at a time, and checks that they are
+    numbered without gaps and that each one's context is the whole text before it: conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars. Raises where they are not."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        own: list | None = None
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("conv_id", "segment", "start", "loss_start", "loss_end")]
-            for conv, segment, start, a, b in zip(*columns, strict=True):
-                if own is None or own[0] != conv:
+        own: _Reader | None = None
+        for batch in sliced(batches, "segment"):
+            done: list[tuple] = []
+            columns = [batch.column(n).to_pylist() for n in ("conv_id", "segment", "example", "context_end", "loss_start", "loss_end")]
+            for conv, *turn in zip(*columns, strict=True):
+                if own is None or own.conv != conv:
                     if own is not None:
-                        done.append((own[0], own[1], own[2].hexdigest(), own[3], own[4].hexdigest(), own[5]))
-                    own = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                head, _, body = segment[len(TURN) :].partition(TEXT)
-                own[1] += 1
-                own[2].update(f"{unescape(head)}\n{unescape(body[: -len(END)])}\n".encode())
-                if a is not None:
-                    reply = unescape(segment[a - start : b - start])
-                    own[3] += len(reply)
-                    own[4].update(reply.encode())
-                own[5] += len(segment)
-            if len(done) >= 5_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], schema=arrow)
-                done = []
-        if own is not None:
-            done.append((own[0], own[1], own[2].hexdigest(), own[3], own[4].hexdigest(), own[5]))
+                        done.append(own.row())
+                    own = _Reader(conv)
+                own.take(*turn)
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], schema=arrow)
+        if own is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, own.row(), strict=True))], schema=arrow)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     arrow = pa.schema([(n, pa.string() if "sha" in n else pa.int64()) for n in names])
-    rows = expanded.select(F.col("conv_id").cast("long").alias("conv_id"), "position", "segment", "start", "loss_start", "loss_end")
+    rows = expanded.select(F.col("conv_id").cast("long").alias("conv_id"), "position", "segment", "example", "context_end", "loss_start", "loss_end")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInArrow(read, schema)
