@@ -40,7 +40,8 @@ def interleave(docs: DataFrame, n_shards: int = 8, *, key: str = "doc_id", strat
     share of it within a row or two.
 
     All columns of ``docs`` are carried, so hand in only what the output needs. Null strata form
-    a stratum; null keys are shuffled like any other; repeated rows each get a slot of their own;
+    a stratum; rows are shuffled by a hash of all their columns, so null and repeated keys are dealt
+    out like any other; rows that are alike in all columns stand next to each other, with a slot each;
     ties are broken by key and then by a hash of the other columns; an empty table gives an empty
     result. Columns of ``docs`` named ``shard`` or ``slot`` are replaced; names that begin with
     ``_`` and clash with the working columns are not touched, as these live in a struct.
@@ -53,15 +54,15 @@ def interleave(docs: DataFrame, n_shards: int = 8, *, key: str = "doc_id", strat
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"),
         F.col(f"`{stratum}`").alias("stratum"),
         F.col(f"`{key}`").alias("key"),
-        F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("h"),
         F.xxhash64(*hashed).alias("tie"),
-    ).withColumn("bucket", F.floor((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) * buckets).cast("int"))
+    )
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key", "tie"))
+    rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) * buckets).cast("int"))
     # shiftrightunsigned keeps h's unsigned order, so the bucket order is the order of "u"
     rows = rows.withColumn("u", F.shiftrightunsigned("h", 1))
     ranked = _ranked(rows, ["stratum"], "bucket", ["u", "key", "tie"], "r", "n")
     ranked = ranked.withColumn("f", (2 * F.col("r") + 1) / (2.0 * F.col("n"))).withColumn("slice", F.floor(F.col("f") * slices).cast("int")).drop("bucket")
     placed = _ranked(ranked, [], "slice", ["f", "stratum", "key", "tie"], "pos", "total")
-    shard = F.floor(F.col("pos") * n_shards / F.col("total"))
     shard = F.expr(f"cast((pos * {n_shards}L) div total as int)")
     # the first position of shard s is ceil(s * total / n_shards)
     return placed.withColumn("shard", shard).select("row.*", "shard", F.expr(f"pos - (shard * total + {n_shards - 1}L) div {n_shards}L").alias("slot"))
