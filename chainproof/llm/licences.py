@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainproof.llm.common import sliced
+
 #: Base phrases and their labels. Fixed values.
 BASE = {
     "under the mit license": "mit",
@@ -186,11 +188,12 @@ def chained(seeds: list[tuple[int, int, int]], gap: int = 12) -> tuple[int, int,
     ``gap`` words of text between neighbours: words covered, first and last word of the text."""
     best, all_best = [], (0, 0, 0)
     seeds = sorted(set(seeds))
+    longest = max((n for _, _, n in seeds), default=0)
     for i, (x, y, n) in enumerate(seeds):
         own = (n, x, x + n - 1)
         for j in range(i - 1, -1, -1):
             px, py, pn = seeds[j]
-            if x - (px + pn) > gap + 64:
+            if x - px > gap + longest:  # seeds ascend by start, so none before ends near enough
                 break
             if px + pn <= x <= px + pn + gap and py + pn <= y and best[j][0] + n > own[0]:
                 own = (best[j][0] + n, best[j][1], x + n - 1)
@@ -211,7 +214,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
     kinds = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("cover", pa.float64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
             for doc, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 r = scanner.scan(t.as_py())
