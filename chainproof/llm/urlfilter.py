@@ -1,8 +1,8 @@
 """URL filtering by a temporal list join, DataFrame functions only.
 
 Dated list entries (an entry is added to or removed from a list at a time) become validity
-intervals. Each capture is looked up, by an equi-join on its URL's keys, in the intervals that
-hold at its fetch time, and the most specific entry decides.
+intervals. Each different pair of URL and fetch time is looked up, by a join on the URL's keys and
+the time, in the intervals that hold then, and the most specific entry decides.
 
 A capture has a key for its URL, for each leading part of its path, its host, and each parent
 domain. A host with a large share of all captures makes one hot key: the interval table is
@@ -69,15 +69,16 @@ def judge(captures: DataFrame, entries: DataFrame, *, url: str = "url", at: str
 
     Null or unparsable URLs, and null times, are ``none`` with a null list. Repeated rows are all
     returned; an empty list judges all ``none``. Columns of ``captures`` with the names of result
-    columns are replaced; its columns must be groupable.
+    columns are replaced; it has no columns named ``_u``, ``_t`` or ``_m``.
     """
     made = ("verdict", "list", "entry", "since")
-    own = [c for c in captures.columns if c not in made]
-    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.withColumn("k", F.explode_outer(keys(F.col("row")[url]))).select("row", "copies", F.lower("k.key").alias("key"), F.col("k.rank").alias("rank"), F.col("row")[at].alias("t"))
-    valid = written(intervals(entries), "intervals")
-    active = rows.join(valid, "key", "left").withColumn("holds", (F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("t") < F.col("until"))))
-    found = F.when(F.col("holds"), F.struct("rank", (F.col("verdict") == "allow").alias("allow"), "since", "list", F.col("key").alias("entry"), "verdict"))
-    best = active.groupBy("row", "copies").agg(F.max(found).alias("m"))
-    out = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col("row")[c].alias(c) for c in own], F.coalesce("m.verdict", F.lit("none")).alias("verdict"), F.col("m.list").alias("list"), F.col("m.entry").alias("entry"), F.col("m.since").alias("since"))
+    own = [F.col(f"`{c}`") for c in captures.columns if c not in made]
+    # a verdict depends on URL and time alone, so each pair of them is looked up once
+    pairs = captures.select(F.col(f"`{url}`").alias("_u"), F.col(f"`{at}`").alias("_t")).where("_u is not null and _t is not null").distinct()
+    rows = pairs.withColumn("k", F.explode(keys(F.col("_u")))).select("_u", "_t", F.lower("k.key").alias("key"), F.col("k.rank").alias("rank"))
+    valid = written(intervals(entries), "intervals").withColumnRenamed("key", "entry")
+    holds = (rows["key"] == valid["entry"]) & (valid["since"] <= rows["_t"]) & (valid["until"].isNull() | (rows["_t"] < valid["until"]))
+    found = F.struct("rank", (F.col("verdict") == "allow").alias("allow"), "since", "list", "entry", "verdict")
+    best = rows.join(valid, holds).groupBy("_u", "_t").agg(F.max(found).alias("_m"))
+    out = captures.select(*own, F.col(f"`{url}`").alias("_u"), F.col(f"`{at}`").alias("_t")).join(best, ["_u", "_t"], "left")
+    return out.select(*own, F.coalesce("_m.verdict", F.lit("none")).alias("verdict"), F.col("_m.list").alias("list"), F.col("_m.entry").alias("entry"), F.col("_m.since").alias("since"))
