@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.tokens import encoder, text_runs
+from chainproof.llm.common import sliced
+from chainproof.llm.tokens import encoder
 
 MANIFEST = "part int, n_docs long, n_tokens long, null_docs long, width int"
 
@@ -54,23 +55,20 @@ def _writer(path: str, vocabulary: str, key: str, text: str):
         names = {x: (f"{folder}/{part:06d}.{x}.{attempt}", f"{folder}/{part:06d}.{x}") for x in ("ids", "offsets", "docs")}
         out: dict = {}
         n_docs = n_tokens = nulls = 0
-        for batch in batches:
+        for batch in sliced(batches, text):
             keys, texts = batch.column(key), batch.column(text).to_pylist()
-            if not batch.num_rows:
-                continue
             if not out:
                 where.create_dir(folder, recursive=True)
                 out = {x: where.open_output_stream(n[0]) for x, n in names.items()}
                 out["offsets"].write(np.zeros(1, "<i8").tobytes())
             nulls += keys.null_count
             out["docs"].write(np.asarray(keys.cast(pa.int64()).fill_null(0)).astype("<i8").tobytes())
-            for a, b in text_runs(texts):
-                ids = enc.encode(texts[a:b])
-                ends = n_tokens + np.cumsum([len(x) for x in ids])
-                out["offsets"].write(ends.astype("<i8").tobytes())
-                for x in ids:
-                    out["ids"].write(x.astype(kind).tobytes())
-                n_tokens = int(ends[-1])
+            ids = enc.encode(texts)
+            ends = n_tokens + np.cumsum([len(x) for x in ids])
+            out["offsets"].write(ends.astype("<i8").tobytes())
+            for x in ids:
+                out["ids"].write(x.astype(kind).tobytes())
+            n_tokens = int(ends[-1])
             n_docs += batch.num_rows
         if out:
             for x, (own, final) in names.items():
@@ -86,13 +84,14 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = "word_bpe
     folder that all executors share), and returns the manifest with ``base``.
 
     Null texts count as empty and have the end id alone; rows with a null key come first; rows
-    with the same key are all written, in order of text. An empty table gives an empty manifest.
-    Other columns are ignored.
+    with the same key are all written, in order of a hash of their texts, which also deals a key that
+    very many rows share out over several parts. An empty table gives an empty manifest. Other columns
+    are ignored.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h").drop("h")
     ordered.mapInArrow(_writer(path, vocabulary, "key", "text"), MANIFEST).write.parquet(f"{path}/manifest")
     parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row for each part
@@ -101,14 +100,24 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = "word_bpe
     return spark.read.parquet(f"{path}/index")
 
 
-def mapped(where, name: str, kind: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the store is a local folder, else read."""
-    from pyarrow import fs
+class Mapped:
+    """A file as an array that is read where it is sliced: memory-mapped where the store is a local
+    folder, else by ranges of bytes."""
+
+    def __init__(self, where, name: str, kind: str):
+        from pyarrow import fs
+
+        self.kind, self.file, self.array = np.dtype(kind), None, None
+        if isinstance(where, fs.LocalFileSystem):
+            self.array = np.memmap(name, dtype=kind, mode="r") if os.path.getsize(name) else np.zeros(0, kind)
+        else:
+            self.file = where.open_input_file(name)
 
-    if isinstance(where, fs.LocalFileSystem):
-        return np.memmap(name, dtype=kind, mode="r") if os.path.getsize(name) else np.zeros(0, kind)
-    with where.open_input_file(name) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.file is None:
+            return np.asarray(self.array[at])
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(int(at.stop - at.start) * size, int(at.start) * size), self.kind)
 
 
 def read_token_files(manifest: DataFrame, path: str, digests_only: bool = False) -> DataFrame:
@@ -122,19 +131,20 @@ def read_token_files(manifest: DataFrame, path: str, digests_only: bool = False)
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"{folder}/{row['part']:06d}"
-                ids, offsets, keys = (mapped(where, f"{name}.{x}", k) for x, k in (("ids", f"<u{row['width']}"), ("offsets", "<i8"), ("docs", "<i8")))
-                for a in range(0, row["n_docs"], 5_000):
-                    b = min(a + 5_000, row["n_docs"])
-                    at = [(int(offsets[i]), int(offsets[i + 1])) for i in range(a, b)]
+                ids, offsets, keys = (Mapped(where, f"{name}.{x}", k) for x, k in (("ids", f"<u{row['width']}"), ("offsets", "<i8"), ("docs", "<i8")))
+                for a in range(0, row["n_docs"], 2_000):
+                    b = min(a + 2_000, row["n_docs"])
+                    ends = offsets[a : b + 1].astype(np.int64)
+                    each = [ids[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
                     columns = [
-                        pa.array(np.asarray(keys[a:b]), pa.int64(), mask=np.arange(a, b) < row["null_docs"]),
-                        pa.array(row["base"] + np.asarray(offsets[a:b]), pa.int64()),
-                        pa.array(np.diff(offsets[a : b + 1]), pa.int64()),
-                        pa.array([zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in at], pa.int64()),
+                        pa.array(keys[a:b], pa.int64(), mask=np.arange(a, b) < row["null_docs"]),
+                        pa.array(row["base"] + ends[:-1], pa.int64()),
+                        pa.array(np.diff(ends), pa.int64()),
+                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()),
                     ]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if not digests_only:
-                        columns.append(pa.array([ids[x:y].astype(np.int64) for x, y in at], pa.list_(pa.int64())))
+                        columns.append(pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64())))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
