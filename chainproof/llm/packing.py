@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.common import written
-from chainproof.llm.tokens import encoder, text_runs
+from chainproof.llm.common import sliced, written
+from chainproof.llm.tokens import encoder
 
 
 class OpenBins:
@@ -99,21 +99,19 @@ def pieces(docs: DataFrame, *, capacity: int = 4096, vocabulary: str = "word_bpe
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
-            keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
-            for a, b in text_runs(texts):
-                rows = []
-                for doc, ids in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
-                    whole = ids.tobytes()
-                    tie = zlib.crc32(whole) if len(ids) > capacity else None  # a single piece's own
-                    for i in range(0, len(ids), capacity):
-                        part = whole[4 * i : 4 * (i + capacity)]
-                        crc = zlib.crc32(part)
-                        rows.append((doc, i // capacity, i, len(part) // 4, crc, crc if tie is None else tie) + ((part,) if with_ids else ()))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "tie", "ids"]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "tie", "ids"]
+        for batch in sliced(batches, "text"):
+            rows = []
+            for doc, ids in zip(batch.column("key").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+                whole = ids.tobytes()
+                tie = zlib.crc32(whole) if len(ids) > capacity else None  # a single piece's own
+                for i in range(0, len(ids), capacity):
+                    part = whole[4 * i : 4 * (i + capacity)]
+                    crc = zlib.crc32(part)
+                    rows.append((doc, i // capacity, i, len(part) // 4, crc, crc if tie is None else tie) + ((part,) if with_ids else ()))
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(cut, schema)

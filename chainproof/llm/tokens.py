@@ -100,15 +100,3 @@ def encoder(name_or_path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
-
-
-def text_runs(texts: list, most_chars: int = 4_000_000) -> Iterable[tuple[int, int]]:
-    """(from, to) of runs of texts with about ``most_chars`` in all, to bound what is in memory."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most_chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

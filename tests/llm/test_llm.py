@@ -41,6 +41,32 @@ def test_sharding(spark, docs, none):
     assert all(abs(mix[shard, s] - n / 8) <= 2 for s, n in total.items() for shard in range(8))
 
 
+def brute_interleave(rows, n, seed_hash):
+    """Shard and slot of each row by sorting alone; rows are (key, stratum), hashes those of Spark."""
+    by = {}
+    for row, (u, bucket, tie) in zip(rows, seed_hash, strict=True):
+        by.setdefault(row[1], []).append((bucket, u, row[0] is not None, row[0] or 0, tie, row))
+    order = []
+    for stratum, own in by.items():
+        for r, x in enumerate(sorted(own, key=lambda x: x[:5])):
+            order.append(((2 * r + 1) / (2.0 * len(own)), stratum is not None, stratum or "", x[2:5], x[5]))
+    order.sort(key=lambda x: x[:4])
+    return Counter((*x[4], p * n // len(order), p - -(-(p * n // len(order)) * len(order) // n)) for p, x in enumerate(order))
+
+
+def test_sharding_is_the_sorted_order(spark):
+    rows = [(i if i % 3 else None, ["a", "b", None, "a"][i % 4], i) for i in range(300)] + [(8, "a", i) for i in range(300, 360)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, slot long")
+    got = sharding.interleave(table.withColumnRenamed("slot", "x"), 7).collect()
+    tie = F.xxhash64("doc_id", "source", "x")
+    h = table.withColumnRenamed("slot", "x").select("doc_id", "source", "x", tie.alias("tie"), F.xxhash64(F.lit(17), "doc_id", tie).alias("h")).collect()
+    hashes = [((r["h"] % (1 << 64)) >> 1, int(((r["h"] % (1 << 64)) >> 11) / float(1 << 53) * 512), r["tie"]) for r in h]
+    want = brute_interleave([(r["doc_id"], r["source"], r["x"]) for r in h], 7, hashes)
+    assert Counter((r["doc_id"], r["source"], r["x"], r["shard"], r["slot"]) for r in got) == want
+    nulls = Counter(r["shard"] for r in got if r["doc_id"] is None)
+    assert min(nulls[s] for s in range(7)) >= 5
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(120)] + [(200, None), (201, [1.0, None]), (202, [float("nan")]), (203, []), (7, [0.5] * 6)]
@@ -56,6 +82,29 @@ def test_top_k(spark):
     assert topk.exact_top_k(v.where("false"), v).count() == 0 and topk.exact_top_k(v, v.where("false")).count() == 0
 
 
+def brute_top_k(rows, k=5):
+    """Every query row's best, by whole numbers; rows are told apart by their places."""
+    whole = [(i, [int(np.floor(y * 256)) for y in x]) for i, x in rows]
+    out = Counter()
+    for p, (q, x) in enumerate(whole):
+        if q % 50 == 0:
+            others = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), i) for o, (i, y) in enumerate(whole) if o != p)[:k]
+            out.update((q, r + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(others))
+    return out
+
+
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    """No finite vector is left out; sums beyond 64 bits rank right; ids and rows may repeat."""
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 8) / 8]) for i in range(1, 60)]
+    rows += [(100, [2.0e6, 1.0]), (150, [float(1 << 20)] * 128), (200, [1e30, -1e30]), (201, [1e30, 1e29]), (202, [-1e300, 2.0]), (250, [1e300] * 3), (203, [float(1 << 45)] * 8)]
+    rows += [(50, [0.5] * 8), (50, [0.5] * 8), (50, [0.25, -0.5]), (7, [1.0] * 8), (7, [1.0] * 8), (300, [0.0]), (300, [0.0])]
+    v = spark.createDataFrame([(*r, 0) for r in rows], "id long, e array<double>, score int").select("id", topk.quantised(F.col("e")).alias("v"), "score")
+    for blocks in ({}, {"query_block": 2, "candidate_block": 9}):
+        got = topk.exact_top_k(v.where("id % 50 = 0"), v, 5, **blocks).collect()
+        assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_top_k(rows)
+
+
 def test_token_files_and_packing(spark, docs, none, tmp_path):
     enc = encoder("word_bpe_49k.json")
     want = {(d, tuple(enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for d, t, _ in ROWS}
@@ -67,6 +116,11 @@ def test_token_files_and_packing(spark, docs, none, tmp_path):
         assert r["start"] == place and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         place += r["n_tokens"]
     assert tokenfile.write_token_files(none, str(tmp_path / "e")).count() == 0
+    from pyarrow import fs
+
+    far = tokenfile.Mapped(fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "t/000000.offsets", "<i8")  # read by ranges
+    near = tokenfile.Mapped(fs.LocalFileSystem(), str(tmp_path / "t/000000.offsets"), "<i8")
+    assert far.file is not None and far[0:2].tolist() == near[0:2].tolist()
     packed = packing.pack(docs, capacity=64, with_ids=True).collect()
     fill = {}
     for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
@@ -102,6 +156,13 @@ def test_chat(spark):
     examples = chat.render(chat.expand(turns)).orderBy("conv_id", "example").collect()
     assert [chat.unescape(e["text"][e["loss_start"] : e["loss_end"]]) for e in examples] == ["y", odd, "again"]
     assert chat.read_back(chat.expand(turns.where("false"))).count() == 0
+    expanded = chat.expand(turns)
+    for wrong in (expanded.withColumn("context_end", F.col("context_end") + 1), expanded.withColumn("example", F.col("example") + 1)):
+        with pytest.raises(Exception, match="characters of context"):
+            chat.read_back(wrong).collect()
+    long = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"turn {i} " * 50, "x") for i in range(3000)], "conv_id long, turn long, role string, text string, segment string")
+    r = chat.read_back(chat.expand(long)).first()
+    assert r["n_turns"] == 3000 and r["loss_chars"] == sum(len(f"turn {i} " * 50) for i in range(1, 3000, 2))
 
 
 def test_licences(docs, none):
@@ -114,6 +175,32 @@ def test_licences(docs, none):
     assert sorted(licences.Scanner(licences.TEMPLATES, licences.BASE).scan(text)["starts"]) == sorted(want)
 
 
+def test_licence_chains_and_statistics_against_brute_force():
+    rng = np.random.default_rng(12)
+    sequences = [[b"%d" % x for x in rng.integers(0, 5, n)] for n in (9, 30, 12)]
+    automaton = licences.Automaton(sequences, set())
+    text = [b"%d" % x for x in rng.integers(0, 6, 300)] + sequences[1]
+    runs = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    got = [n for _, n in automaton.statistics([automaton.ids.get(w, 0) for w in text])]
+    assert got == [max((n for n in range(min(i + 1, 30) + 1) if n == 0 or tuple(text[i - n + 1 : i + 1]) in runs)) for i in range(len(text))]
+    for gap in (2, 12):
+        seeds = [(int(x), int(y), int(n)) for x, y, n in zip(rng.integers(0, 400, 60), rng.integers(0, 300, 60), rng.choice([3, 5, 90, 150], 60), strict=True)]
+        best = {}
+
+        def covered(seed):
+            if seed not in best:
+                x, y, n = seed
+                before = [covered(p)[0] for p in set(seeds) if p[0] + p[2] <= x <= p[0] + p[2] + gap and p[1] + p[2] <= y]
+                best[seed] = (n + max(before, default=0),)
+            return best[seed]
+
+        assert licences.chained(seeds, gap)[0] == max(covered(s)[0] for s in seeds)
+    words = [f"w{i}" for i in range(200)]
+    scanner = licences.Scanner([("long", " ".join(words))], licences.BASE)
+    found = scanner.scan("x " * 5 + " ".join(words[:90]) + " odd " + " ".join(words[90:]))
+    assert found["labels"] == ["long"] and found["score"] == 1.0 and found["spans"][0][1:3] == (5, 205)
+
+
 def brute_components(texts):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -305,3 +392,6 @@ def test_url_filter(spark):
     assert sum(got.values()) == len(c) and got["no url", "none", None] == 2
     assert got["http://u@A.example:80/q", "block", "l"] == got["http://a.example/x/y", "allow", "w"] == got["http://m.b.example/", "block", "d"] == got["https://a.example/q", "none", None] == 1
     assert urlfilter.judge(captures, entries.where("false")).where("verdict <> 'none'").count() == 0
+    clash = captures.withColumns({"verdict": F.lit("mine"), "key": F.lit("k"), "entry": F.lit(1), "rank": F.lit(2)})
+    out = urlfilter.judge(clash, entries)
+    assert out.count() == len(c) and {r["key"] for r in out.collect()} == {"k"} and out.where("verdict = 'mine'").count() == 0
