@@ -13,7 +13,7 @@ COMPOSED = {"\u0627\u0653": "\u0622", "\u0627\u0654": "\u0623", "\u0627\u0655":
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 
 #: Honorific phrases. Fixed values.
-HONORIFICS = r"رضي\s+الله\s+عنه(?:ما|م|ا)?|صلى\s+الله\s+عليه\s+و?سلم|ﷺ|عليه(?:م)?\s+السلام|رحمه\s+الله(?:\s+تعالى)?|تعالى"
+HONORIFICS = r"رضي\s+الله\s+عنه(?:م|ا|ما)?|صلى\s+الله\s+عليه\s+و?سلم|ﷺ|عليه(?:م)?\s+السلام|رحمه\s+الله(?:\s+تعالى)?|تعالى"
 
 #: Second words of a name that a third belongs to. Fixed values.
 SON_OF = ("بن", "بنت")
@@ -108,7 +108,7 @@ DEFAULT_VERDICT = "ذكره العجلي في معرفة الثقات"
 #: Openings of a narration. Fixed values.
 NARRATION = r"^(روى\s+(?:عن|عنه)|حدثنا|حدثناه|أخبرنا|أنبأنا|قال\s+حدثنا|قال\s+أخبرنا|أملى\s+علينا|سمعت)(?=\s|$)"
 #: A critic's name as it is spelt, and the verbs before it. Fixed values.
-SPEAKER = r"(?:قال لنا|قال لي|وقال|قال|سئل|وذكر)\s+(?:(?:أبو|أبي)\s+الحسن\s+)?ال[دذ][َّ ]*ا?رَ?ا?قُ?ط[ْ]?نِ?ي[ّ]?\s*(?::|في\s+«[^»]+»\s*:)"
+SPEAKER = r"(?:قال|وقال|قال\s+لي|سئل|وذكر|قال\s+لنا)\s+(?:(?:أبو|أبي)\s+الحسن\s+)?ال[دذ][َّ ]*ا?رَ?ا?قُ?ط[ْ]?نِ?ي[ّ]?\s*(?::|في\s+«[^»]+»\s*:)"
 RELAY = r"قال\s+([^:]{1,40})\s*:\s*$"
 #: Marks of parallel chains and of joint speech; relatives. Fixed values.
 BRANCH_MARK, FORK, JOINT = "ح", "وعن", ("قالا", "قالوا")

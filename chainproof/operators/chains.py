@@ -56,11 +56,11 @@ def attestation_summary(links: DataFrame) -> DataFrame:
 
 def tadlis_summary(links: DataFrame, positions: DataFrame, entities: DataFrame, key: str = "entity_id") -> DataFrame:
     """AG-9: per chain the ordered (kind, pos) instances and whether there is one of each kind."""
-    one = links.where("tadlis_concern").select(*CHAIN, F.lit("isnad").alias("kind"), F.col("from_pos").alias("pos"))
+    one = links.where("tadlis_concern").select(*CHAIN, F.lit("ambiguous").alias("kind"), F.col("from_pos").alias("pos"))
     who = entities.where("practices_taswiya").select(F.col(key).alias("entity_id"))
     two = positions.where(formula_strength(F.col("formula")) == "ambiguous").join(who, "entity_id", "left_semi").select(*CHAIN, F.lit("taswiya").alias("kind"), "pos")
     return one.unionByName(two).groupBy(*CHAIN).agg(
-        F.sort_array(F.collect_list(F.struct("kind", "pos"))).alias("instances"), F.bool_or(F.col("kind") == "isnad").alias("has_isnad"), F.bool_or(F.col("kind") == "taswiya").alias("has_taswiya"))
+        F.sort_array(F.collect_list(F.struct("kind", "pos"))).alias("instances"), F.bool_or(F.col("kind") == "ambiguous").alias("has_ambiguous"), F.bool_or(F.col("kind") == "taswiya").alias("has_taswiya"))
 
 
 def chain_verdicts(positions: DataFrame, links: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def conditions(verdicts: DataFrame, tadlis: DataFrame, links: DataFrame, positio
     listed entity used an ambiguous verb, and the standing disclaimer."""
     weak = positions.groupBy(*CHAIN).agg(F.bool_or(F.coalesce(F.col("grade").isin(*rules.WEAK), F.lit(False))).alias("weak"))
     heard = links.groupBy(*CHAIN).agg(F.coalesce(F.bool_or(F.col("verb") == "samaa"), F.lit(False)).alias("heard"))
-    rows = verdicts.join(weak, CHAIN, "left").join(heard, CHAIN, "left").join(tadlis.select(*CHAIN, (F.col("has_isnad") | F.col("has_taswiya")).alias("risk")), CHAIN, "left")
+    rows = verdicts.join(weak, CHAIN, "left").join(heard, CHAIN, "left").join(tadlis.select(*CHAIN, (F.col("has_ambiguous") | F.col("has_taswiya")).alias("risk")), CHAIN, "left")
     item = lambda o, n, ok: F.struct(F.lit(o).alias("ord"), F.lit(n).alias("condition"), ok.alias("ok"))
     items = F.array(item(1, "connection", F.col("verdict") != "broken"), item(2, "probity", ~F.coalesce("weak", F.lit(False))), item(3, "clearance", F.coalesce("heard", F.lit(False))), item(4, "disclaimer", F.lit(True)))
     kept = F.filter(items, lambda x: (x["ord"] != 3) | F.coalesce("risk", F.lit(False)))
@@ -197,8 +197,8 @@ def tadlis_ruling(positions: DataFrame, links: DataFrame, summary: DataFrame, en
     listed = positions.join(entities.where("tadlis_tier is not null").select(F.col(key).alias("entity_id"), "tadlis_tier"), "entity_id")
     heard = links.select(*CHAIN, F.col("from_pos").alias("pos"), F.coalesce(F.col("verb") == "samaa", F.lit(False)).alias("cleared"))
     rows = listed.join(heard, [*CHAIN, "pos"], "left").groupBy(*CHAIN).agg(F.sort_array(F.collect_list(F.struct("pos", "entity_id", "tadlis_tier", F.coalesce("cleared", F.lit(False)).alias("cleared")))).alias("listed"))
-    out = positions.select(*CHAIN).distinct().join(rows, CHAIN, "left").join(summary.select(*CHAIN, "has_isnad", "has_taswiya"), CHAIN, "left")
-    ruling = F.when(F.col("listed").isNull(), "clean").when(F.col("has_taswiya"), "disqualifying").when(F.col("has_isnad"), "suspended").otherwise("harmless")
+    out = positions.select(*CHAIN).distinct().join(rows, CHAIN, "left").join(summary.select(*CHAIN, "has_ambiguous", "has_taswiya"), CHAIN, "left")
+    ruling = F.when(F.col("listed").isNull(), "clean").when(F.col("has_taswiya"), "disqualifying").when(F.col("has_ambiguous"), "suspended").otherwise("harmless")
     return out.select(*CHAIN, ruling.alias("ruling"), "listed")
 
 

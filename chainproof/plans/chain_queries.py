@@ -266,8 +266,8 @@ def _(t: Tables) -> DataFrame:
     return C.attestation_summary(links(t)).drop("branch_no")
 
 
-_TADLIS = """, inst as (select chain_id, 'isnad' as kind, from_pos as pos from links where tadlis_concern union all select chain_id, 'taswiya', pos from positions join chain_entities using (entity_id) where practices_taswiya and formula in ('an', 'anna', 'qala')),
-    ts as (select chain_id, string_agg(kind || ':' || pos, '|' order by kind, pos) as instances, bool_or(kind = 'isnad') as has_isnad, bool_or(kind = 'taswiya') as has_taswiya from inst group by 1)"""
+_TADLIS = """, inst as (select chain_id, 'ambiguous' as kind, from_pos as pos from links where tadlis_concern union all select chain_id, 'taswiya', pos from positions join chain_entities using (entity_id) where practices_taswiya and formula in ('an', 'anna', 'qala')),
+    ts as (select chain_id, string_agg(kind || ':' || pos, '|' order by kind, pos) as instances, bool_or(kind = 'ambiguous') as has_ambiguous, bool_or(kind = 'taswiya') as has_taswiya from inst group by 1)"""
 
 
 def tadlis(t: Tables) -> DataFrame:
@@ -287,7 +287,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("cl13_conditions", duck(*_V, then=_LINKS + _VERDICT + _TADLIS + """,
-    w as (select chain_id, verdict, weak, coalesce(has_isnad or has_taswiya, false) as risk, coalesce((select bool_or(verb = 'samaa') from links l where l.chain_id = v.chain_id), false) as heard from verdicts v join pv using (chain_id) left join ts using (chain_id))
+    w as (select chain_id, verdict, weak, coalesce(has_ambiguous or has_taswiya, false) as risk, coalesce((select bool_or(verb = 'samaa') from links l where l.chain_id = v.chain_id), false) as heard from verdicts v join pv using (chain_id) left join ts using (chain_id))
     select chain_id, 1 as ord, 'connection' as condition, verdict <> 'broken' as ok from w union all select chain_id, 2, 'probity', not weak from w union all select chain_id, 3, 'clearance', heard from w where risk union all select chain_id, 4, 'disclaimer', true from w"""))
 def _(t: Tables) -> DataFrame:
     return C.conditions(chain_verdicts(t), tadlis(t), links(t), graded_positions(t)).drop("branch_no")
@@ -312,7 +312,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("cl17_tadlis_ruling", duck(*_V, then=_LINKS + _TADLIS + """,
     m as (select p.chain_id, string_agg(p.pos || ':' || tadlis_tier || ':' || coalesce(l.verb = 'samaa', false), '|' order by p.pos) as listed from positions p join chain_entities e on e.entity_id = p.entity_id and tadlis_tier is not null left join links l on l.chain_id = p.chain_id and l.from_pos = p.pos group by 1)
-    select c.chain_id, case when listed is null then 'clean' when has_taswiya then 'disqualifying' when has_isnad then 'suspended' else 'harmless' end as ruling, listed from (select distinct chain_id from positions) c left join m using (chain_id) left join ts using (chain_id)"""))
+    select c.chain_id, case when listed is null then 'clean' when has_taswiya then 'disqualifying' when has_ambiguous then 'suspended' else 'harmless' end as ruling, listed from (select distinct chain_id from positions) c left join m using (chain_id) left join ts using (chain_id)"""))
 def _(t: Tables) -> DataFrame:
     out = C.tadlis_ruling(t.positions, links(t), tadlis(t), t.chain_entities).drop("branch_no")
     return out.withColumn("listed", listed(F.transform("listed", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["tadlis_tier"].cast("string"), x["cleared"].cast("string")))))
