@@ -1,9 +1,7 @@
-"""What the training-data operators share: the shared work folder, written tables, batches, names."""
+"""What the training-data operators share: numbered rows, slices of batches, hashes, names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,33 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset and
-    Spark runs in one process, a fresh temporary folder, which is then set; on a cluster no folder of
-    one machine will do, so it has to be set there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='chainproof-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{work_dir(spark)}/chainproof/{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: cuts the lineage, survives
-    the loss of any executor, and makes expensive columns be computed once."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from chainproof.sources.work import new_path, work_dir, written  # noqa: F401
 
 
 def numbered_rows(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
