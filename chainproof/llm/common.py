@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,18 @@ def numbered_rows(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
     return written(docs.withColumn(number, F.monotonically_increasing_id()), name), number
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for later to the system. Workers are used again
+    for other stages, and share an executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows with about ``most`` bytes of text in ``column``, or one row, so that
-    what a task holds as Python objects does not depend on how long the texts are. Gives memory that
-    Arrow keeps for later back at the end."""
+    what a task holds as Python objects does not depend on how long the texts are. Gives memory back
+    at the end."""
     try:
         for batch in batches:
             sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 16
@@ -35,7 +44,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 1_0
                 if b > a:
                     yield batch.slice(a, b - a)
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 _FIRST, _SECOND = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

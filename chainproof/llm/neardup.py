@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.common import mixed, numbered_rows, sliced, written
+from chainproof.llm.common import give_back, mixed, numbered_rows, sliced, written
 from chainproof.llm.components import connected_components
 
 PERMUTATIONS, BANDS = 64, 32
@@ -127,6 +127,8 @@ def signatures(rows: DataFrame, row: str, key: str = "doc_id", text: str = "text
                 [batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([w[0] for w in whole], pa.int64()), pa.array([w[1] for w in whole], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["row", "doc_id", "n_shingles", "s1", "s2", "keys"],
             )
+        _words.clear()
+        give_back()
 
     of = rows.select(F.col(row).alias("row"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     return of.mapInArrow(sign, "row long, doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
@@ -141,6 +143,8 @@ def _sets(rows: DataFrame, row: str, text: str, chosen: DataFrame) -> DataFrame:
             if len(_words) > MEMORY:
                 _words.clear()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        _words.clear()
+        give_back()
 
     texts = rows.select(F.col(row).alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
     # the rows grow with the corpus, so the join is the same at every size: never a broadcast

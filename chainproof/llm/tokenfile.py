@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.common import sliced
+from chainproof.llm.common import give_back, sliced
 from chainproof.llm.tokens import encoder
 
 MANIFEST = "part int, n_docs long, n_tokens long, null_docs long, width int"
@@ -70,6 +70,8 @@ def _writer(path: str, vocabulary: str, key: str, text: str):
                 out["ids"].write(x.astype(kind).tobytes())
             n_tokens = int(ends[-1])
             n_docs += batch.num_rows
+        enc.forget()
+        give_back()
         if out:
             for x, (own, final) in names.items():
                 out[x].close()

@@ -317,6 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     if got:
         raw, own = np.array([r["raw"] for r in got]), y_of[[r["i"] for r in got]]
         model.knots = isotonic(raw, own, np.where(own == 1, model.per_label[1], model.per_label[0]))
+    for x in (shared, place):
+        x.destroy()  # no later task reads them
     return model
 
 
