@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chainproof.functions import lexicons as X
 from chainproof.functions.text import cities, city_set, grade_tier, is_mention_only, is_protected, min_length, normalize, nullable, printed_grade, short_name
+from chainproof.sources.work import written
 
 #: Buckets of criticism; the second profile removes one more for the protected class.
 CRITICISM = {"summary": ("weak", "abandoned", "fabricator"), "harshest": ("weak", "abandoned", "fabricator", "mostly_reliable")}
@@ -126,24 +128,57 @@ def lookup_strongest_verb(links: DataFrame, verbs: DataFrame, ranks: dict[str, i
     return links.join(best, ["student_id", "teacher_id"], "left").withColumns({"verb": F.col("d.v"), "verb_book": F.col("d.b"), "verb_phrase": F.col("d.p")}).drop("d")
 
 
+#: Names that are looked for in one pass over the texts, which bounds what tasks hold.
+NAMES = 200_000
+
+
+def _mentioned(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, book, nid): the texts (id, book, t) that contain each name (nid, name), anywhere. Each text is
+    read once by an automaton of ``NAMES`` names at most; more take further passes."""
+    n = names.count()
+    passes = max(1, -(-n // NAMES))
+    found = None
+    for p in range(passes):
+        own = [tuple(r) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == p).select("name", "nid").collect()]  # about NAMES rows
+        shared = texts.sparkSession.sparkContext.broadcast(own)
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for name, nid in shared.value:
+                automaton.add_word(name, nid)
+            automaton.make_automaton()
+            for batch in batches:
+                at, nids = [], []
+                for i, t in enumerate(batch.column("t").to_pylist()):
+                    got = {nid for _, nid in automaton.iter(t)} if len(automaton) else ()
+                    at += [i] * len(got)
+                    nids += got
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), batch.column("book").take(pa.array(at, pa.int64())), pa.array(nids, pa.int64())], names=["id", "book", "nid"])
+
+        hits = texts.mapInArrow(look, "id long, book string, nid long")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 def cooccurrence(pairs: DataFrame, corpus: DataFrame, k: int = 18, least: int = 6, fallback: int = 3, *, text: str = "text", key: str = "text_id", book: str = "book_id") -> DataFrame:
     """JN-12: (student_name, teacher_name, book_id, n, total) of texts that contain both short
     names; the ``k`` books with most, and the sum over them.
 
-    A name of w words is looked up by equi-join among the texts' runs of w words, so names are
-    found at word boundaries; each distinct name is joined once.
+    Names are found as substrings of the normalised text, as particles are written onto names. All
+    distinct names are looked for in one reading of each text.
     """
     short = lambda c: normalize(short_name(F.col(c), fallback))
     p = pairs.select(short("student_name").alias("s"), short("teacher_name").alias("t")).where(min_length(F.col("s"), least) & min_length(F.col("t"), least)).distinct()
-    names = p.select(F.col("s").alias("name")).unionByName(p.select(F.col("t").alias("name"))).distinct().withColumn("w", F.size(F.split("name", " ")))
-    w = F.split(normalize(F.col(text)), " ")
-    runs = corpus.select(F.col(key).alias("id"), F.col(book).alias("book"), w.alias("ws"))
-    widths = F.sequence(F.lit(1), F.lit(max(4, fallback)))
-    starts = F.sequence(F.lit(1), F.size("ws"))
-    grams = F.flatten(F.transform(widths, lambda n: F.transform(F.filter(starts, lambda i: i + n - 1 <= F.size("ws")), lambda i: F.array_join(F.slice("ws", i, n), " "))))
-    found = runs.select("id", "book", F.explode(F.array_distinct(grams)).alias("name")).join(names, "name", "left_semi")
-    a, b = found.select("id", "book", F.col("name").alias("s")), found.select("id", F.col("name").alias("t"))
-    both = p.join(a, "s").join(b, ["id", "t"]).groupBy("s", "t", "book").agg(F.count(F.lit(1)).alias("n"))
+    p = written(p, "pairs")
+    names = p.select(F.col("s").alias("name")).unionByName(p.select(F.col("t").alias("name"))).distinct()
+    names = written(names.withColumn("nid", F.monotonically_increasing_id()), "names")
+    texts = corpus.select(F.col(key).cast("long").alias("id"), F.col(book).cast("string").alias("book"), normalize(F.col(text)).alias("t")).where("t is not null")
+    found = written(_mentioned(texts, names), "mentioned")
+    ids = p.join(names.select(F.col("name").alias("s"), F.col("nid").alias("sid")), "s").join(names.select(F.col("name").alias("t"), F.col("nid").alias("tid")), "t")
+    a, b = found.select("id", "book", F.col("nid").alias("sid")), found.select("id", F.col("nid").alias("tid"))
+    both = ids.join(a, "sid").join(b, ["id", "tid"]).groupBy("s", "t", "book").agg(F.count(F.lit(1)).alias("n"))
     top = both.withColumn("r", F.row_number().over(W.partitionBy("s", "t").orderBy(F.desc("n"), "book"))).where(F.col("r") <= k)
     return top.select(F.col("s").alias("student_name"), F.col("t").alias("teacher_name"), F.col("book").alias("book_id"), "n", F.sum("n").over(W.partitionBy("s", "t")).alias("total"))
 

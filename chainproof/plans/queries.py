@@ -22,6 +22,7 @@ from chainproof.operators import parse as P
 from chainproof.operators import passages as A
 from chainproof.plans.standins import Tables, duck
 from chainproof.sources import io as IO
+from chainproof.sources.work import new_path
 from chainproof.streaming import state as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +75,41 @@ def _(t: Tables) -> DataFrame:
     return grade.unionByName(variant).unionByName(row(parts["transmission"], "edge", F.col("student_id"), F.col("teacher_id"), null))
 
 
+@query("io01_read_profiles", duck(then="""
+    select c_custkey as id, c_name as full_name, case when c_custkey % 4 = 0 then null else '-' end as death, [c_mktsegment, c_name][1] as naming, c_nationkey as teacher, c_custkey % 100 as entry_id from customer"""))
+def _(t: Tables) -> DataFrame:
+    """Shards of a hundred profiles each, written as JSON and read again."""
+    c = F.col
+    profile = F.struct(
+        c("c_custkey").cast("int").alias("id"), c("c_name").alias("full_name"), F.when(c("c_custkey") % 4 > 0, "-").alias("death"), F.array("c_mktsegment", "c_name").alias("namings"),
+        F.create_map(F.lit("m"), F.struct((c("c_custkey") % 100).cast("int").alias("entry_id"))).alias("classical_sources"), F.array(c("c_nationkey").cast("int")).alias("teachers"))
+    shards = t.customer.groupBy(F.floor(c("c_custkey") / 100).alias("shard")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(c("c_custkey").cast("string"), profile)))).alias("value"))
+    path = new_path(t.spark, "profiles")
+    shards.write.partitionBy("shard").text(path)
+    out = IO.read_profiles(t.spark, f"{path}/*")
+    return out.select("id", "full_name", "death", c("namings")[0].alias("naming"), c("teachers")[0].alias("teacher"), c("classical_sources")["m"]["entry_id"].alias("entry_id"))
+
+
+@query("io04_csv_overlay", duck(then=f"""
+    with c as (select c_custkey as k, 'أَحمد "' || c_mktsegment || '", ' || c_custkey % 300 as name, case c_custkey % 7 when 0 then '-' when 1 then null when 2 then ' ' else cast(c_custkey as varchar) end as death from customer),
+    r as (select *, row_number() over (partition by {NORMAL("name")} order by k) as r from c where trim(death) not in ('', '-'))
+    select name, death, {NORMAL("name")} as normalized from r where r = 1"""))
+def _(t: Tables) -> DataFrame:
+    """One overlay file with quotes and commas in names, written and read again."""
+    k = F.col("c_custkey")
+    rows = t.customer.select(k, F.concat(F.lit('أَحمد "'), "c_mktsegment", F.lit('", '), (k % 300).cast("string")).alias("name"), F.when(k % 7 == 0, "-").when(k % 7 == 1, F.lit(None)).when(k % 7 == 2, " ").otherwise(k.cast("string")).alias("death"))
+    path = new_path(t.spark, "overlay")
+    rows.orderBy("c_custkey").drop("c_custkey").coalesce(1).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return IO.read_csv_overlay(t.spark, path, "name string, death string", "name", "death")
+
+
+@query("io06_jsonl", duck(then="select o_orderkey as k, o_orderpriority as name, case when o_orderstatus = 'F' then o_totalprice end as score from orders"))
+def _(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "jsonl")
+    IO.write_jsonl(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("score")), path)
+    return IO.read_jsonl(t.spark, path, "k long, name string, score double")
+
+
 @query("io05_paragraphs", duck(then="""
     with b as (select page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) as b from pages),
     l as (select page_id, string_split(regexp_replace(regexp_replace(b, '\\n', ' ', 'g'), '</p>|<br\\s*/?>', chr(10), 'g'), chr(10)) as l from b),
@@ -375,13 +411,17 @@ def _(t: Tables) -> DataFrame:
     return M.assign_overlay(inputs, t.registry, 0.85).select("entity_id", "overlay", F.round("score", 6).alias("score"))
 
 
+_NOISE, _AFFIXES = ["ring", "bolt", "anvil"], ["ECONOMY", "STANDARD"]
+_IDENTITY = lambda c: f"list_distinct(list_filter({WORDS(NORMAL(c))}, lambda x: len(x) >= 2 and x not in {(*_NOISE, *_AFFIXES)!r}))"
+
+
 @query("jn06_recover", duck("mentions", "registry", then=_SCORED(0.5) + f""", b as (select *, row_number() over (partition by mention_id order by score desc, entity_id) as r from s),
-    k as (select b.mention_id, b.entity_id, b.r, list_distinct({WORDS(NORMAL("m.name"))}) as x, list_distinct({WORDS(NORMAL("g.full_name"))}) as y from b join mentions m on m.mention_id = b.mention_id join registry g on g.entity_id = b.entity_id where b.r <= 30),
+    k as (select b.mention_id, b.entity_id, b.r, {_IDENTITY("m.name")} as x, {_IDENTITY("g.full_name")} as y from b join mentions m on m.mention_id = b.mention_id join registry g on g.entity_id = b.entity_id where b.r <= 30 and len({_IDENTITY("m.name")}) > 0 and len({_IDENTITY("g.full_name")}) > 0),
     j as (select *, greatest(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), case when least(len(x), len(y)) >= 2 and len(list_intersect(x, y)) = least(len(x), len(y)) then 0.65 else 0 end) as score from k),
     o as (select *, row_number() over (partition by mention_id order by score desc, r) as o from j where score >= 0.5)
     select mention_id, entity_id, round(score, 6) as score from o where o = 1"""))
 def _(t: Tables) -> DataFrame:
-    return M.recover_by_tokens(t.mentions, t.registry, loose=0.5, noise=[], affixes=[]).withColumn("score", F.round("score", 6))
+    return M.recover_by_tokens(t.mentions, t.registry, loose=0.5, noise=_NOISE, affixes=_AFFIXES).withColumn("score", F.round("score", 6))
 
 
 @query("jn22_tag_from_list", duck("mentions", "registry", "grades", then=_SCORED(0.82) + f""", {_PROMINENCE},
