@@ -23,6 +23,18 @@ def numbered_rows(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
     return written(docs.withColumn(number, F.monotonically_increasing_id()), name), number
 
 
+#: Rows of an Arrow batch that holds whole texts.
+BATCH = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Has Spark hand texts to Python ``BATCH`` rows at a time or less. A batch stands in the memory of the
+    JVM and of the worker at once, beside the heap, and texts are a hundred times as long as usual values."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def give_back() -> None:
     """Returns memory that Arrow and the C library keep for later to the system. Workers are used again
     for other stages, and share an executor's memory with the JVM."""
@@ -31,7 +43,7 @@ def give_back() -> None:
         trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows with about ``most`` bytes of text in ``column``, or one row, so that
     what a task holds as Python objects does not depend on how long the texts are. Gives memory back
     at the end."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainproof.llm.common import sliced
+from chainproof.llm.common import short_batches, sliced
 
 #: Base phrases and their labels. Fixed values.
 BASE = {
@@ -226,5 +226,6 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates:
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, schema)

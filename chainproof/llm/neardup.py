@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.common import give_back, mixed, numbered_rows, sliced, written
+from chainproof.llm.common import give_back, mixed, numbered_rows, short_batches, sliced, written
 from chainproof.llm.components import connected_components
 
 PERMUTATIONS, BANDS = 64, 32
@@ -204,6 +204,7 @@ def _further_pairs(early: DataFrame, percent: int) -> DataFrame:
 def _grouped(rows: DataFrame, row: str, key: str, text: str, percent: int) -> DataFrame:
     """row, doc_id, n_shingles, component (a number; null for empty sets) and component_id (its smallest
     doc_id) of each row."""
+    short_batches(rows.sparkSession)
     signed = written(signatures(rows, row, key, text, percent), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbers that are written with the classes

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.common import give_back, sliced, written
+from chainproof.llm.common import give_back, short_batches, sliced, written
 from chainproof.llm.tokens import encoder
 
 
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, *, capacity: int = 4096, vocabulary: str = "word_bpe
         enc.forget()
         give_back()
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(cut, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from chainproof.llm.common import give_back, sliced
+from chainproof.llm.common import give_back, short_batches, sliced
 from chainproof.llm.tokens import encoder
 
 MANIFEST = "part int, n_docs long, n_tokens long, null_docs long, width int"
@@ -91,6 +91,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = "word_bpe
     are ignored.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h").drop("h")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainproof.llm.common import mixed, sliced, written
+from chainproof.llm.common import mixed, short_batches, sliced, written
 
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 1000
@@ -269,6 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     ``docs``. Labels that are null, have a null key or no document teach nothing; of several
     labels of one key the largest counts; equal texts of one label are one example."""
     spark = docs.sparkSession
+    short_batches(spark)
     k, t = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
     y = labels.select(k.alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(may_learn(F.col("id")))
     y = y.groupBy("id").agg(F.max("y").alias("y"))
