@@ -376,26 +376,26 @@ def _(t: Tables) -> DataFrame:
     return C.rank_branches(branches)
 
 
-_LEVELS = """, n as (select passage_id, chain_id, score, ['name ' || a, 'name ' || b] as names from parsed), r as (select passage_id, unnest(range(2)) as level, list_reverse(names)[unnest(range(2)) + 1] as name from n),
-    lv as (select passage_id, level, count(distinct name) as n from r group by 1, 2)"""
+# names of one entity differ by a word, and fold into one
+_LEVELS = """, ends as (select chain_id, max(pos) as last from positions group by 1),
+    lv as (select passage_id, last - pos as level, count(distinct entity_id) as n from parsed join ends using (chain_id) join positions using (chain_id) group by 1, 2)"""
 
 
 def parsed_chains(t: Tables) -> DataFrame:
-    name = lambda c: F.concat(F.lit("name "), F.col(c).cast("string"))
-    return t.parsed.select("passage_id", "chain_id", "score", F.array(name("a"), name("b")).alias("names"))
+    named = t.positions.groupBy("chain_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+    return t.parsed.join(named, "chain_id")
 
 
 def levels(t: Tables) -> DataFrame:
-    # single tokens of one letter are no identity, so equal names alone are the same entity here
-    return C.level_counts(parsed_chains(t), noise=["name", *[str(i) for i in range(t.supplier.count())]], affixes=[])
+    return C.level_counts(parsed_chains(t))
 
 
-@query("ag05_level_counts", duck("parsed", then=_LEVELS + " select passage_id, cast(level as integer) as level, n from lv"))
+@query("ag05_level_counts", duck("parsed", "positions", then=_LEVELS + " select passage_id, cast(level as integer) as level, n from lv"))
 def _(t: Tables) -> DataFrame:
     return levels(t).select("passage_id", "level", F.col("n").cast("long").alias("n"))
 
 
-@query("ag06_cl09_bottleneck", duck("parsed", then=_LEVELS + """,
+@query("ag06_cl09_bottleneck", duck("parsed", "positions", then=_LEVELS + """,
     b as (select passage_id, min(n) as min_count, cast(arg_min(level, n * 1000 + level) as integer) as narrowest_level from lv group by 1), c as (select passage_id, count(*) as total_chains, count(distinct chain_id % 7) as distinct_books from parsed group by 1)
     select b.*, total_chains, distinct_books, case when min_count >= 10 then 'mutawatir' when min_count >= 3 then 'mashhur' when min_count = 2 then 'aziz' when narrowest_level = 0 and passage_id % 2 = 0 then 'gharib_mutlaq' else 'gharib_nisbi' end as spread from b join c using (passage_id)"""))
 def bottlenecks(t: Tables) -> DataFrame:

@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: A name of two words for a key of up to five digits: each digit has letters of its place, so that no two
+#: names have the same trigrams.
+_LETTERS = ("abcdefghij", "klmnopqrst", "uvwxyzABCD", "EFGHIJKLMN", "OPQRSTUVWX")
+_DIGITS = [f"translate(substr(lpad(cast({{key}} as string), 5, '0'), {i + 1}, 1), '0123456789', '{x}')" for i, x in enumerate(_LETTERS)]
+_CODED = f"concat({', '.join([*_DIGITS, chr(39) + ' ' + chr(39), *_DIGITS[::-1]])})"
+
 RELATIONS: dict[str, str] = {
     # a registry of names, and mentions of them with a word left out or a letter dropped
     "registry": "select p_partkey as entity_id, concat(p_name, ' ', p_brand, ' ', p_type) as full_name from {part}",
@@ -28,10 +34,10 @@ RELATIONS: dict[str, str] = {
     "quotes": """select grade_id as quote_id, entity_id, source_book, concat('critic ', cast(grade_id % 17 as string)) as author, concat('قال: ', coalesce(grade_text, 'لا بأس به')) as verdict
         from grades where grade_id % 3 = 0""",
     # chains: the lines of an order in their order
-    "positions": """select l_orderkey as chain_id, 0 as branch_no,
-        cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 as bigint) as pos,
-        l_suppkey as entity_id, concat('Supplier ', cast(l_suppkey as string), ' of ', cast(l_partkey % 10 as string)) as name,
-        case concat(l_returnflag, l_linestatus) when 'AF' then 'haddathana' when 'AO' then 'an' when 'NF' then 'samitu' when 'NO' then 'qala' when 'RF' then 'anna' else null end as formula from {lineitem}""",
+    "positions": """select chain_id, branch_no, pos, entity_id, name, case when pos + 1 < n then formula end as formula from (select l_orderkey as chain_id, 0 as branch_no,
+        cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 as bigint) as pos, count(*) over (partition by l_orderkey) as n,
+        l_suppkey as entity_id, concat(case when (l_orderkey + l_linenumber) % 3 = 0 then 'abu ' else '' end, """ + _CODED.format(key="l_suppkey") + """) as name,
+        case concat(l_returnflag, l_linestatus) when 'AF' then 'haddathana' when 'AO' then 'an' when 'NF' then 'samitu' when 'NO' then 'qala' when 'RF' then 'anna' else 'an' end as formula from {lineitem}) x""",
     "chain_entities": """select s_suppkey as entity_id, s_name as full_name,
         case s_suppkey % 11 when 0 then 'صحابي' when 1 then 'تابعي' when 2 then 'الثالثة' when 3 then null else 'السابعة' end as tabaqat,
         case s_suppkey % 6 when 0 then 'ثقة' when 1 then 'ضعيف' when 2 then 'صدوق يخطئ' when 3 then null when 4 then 'متروك' else 'مجهول' end as grade_text,
@@ -50,11 +56,13 @@ RELATIONS: dict[str, str] = {
     "verbs": """select student_id * 10000000 + teacher_id * 10 as attestation_id, student_id, teacher_id, case (student_id + 2 * teacher_id) % 6 when 0 then 'samaa' when 1 then 'liqa' when 2 then 'idraka' when 3 then 'rawa' when 4 then 'kataba' else 'other' end as verb, 'tarikh' as source_book, 'سمع منه' as phrase
         from edge_pairs where (student_id * 5 + teacher_id) % 6 < 4
         union all select student_id * 10000000 + teacher_id * 10 + 1, student_id, teacher_id, 'rawa', 'thiqat', null from edge_pairs where (student_id + teacher_id) % 3 = 0""",
+    # the spellings of chain entities
+    "chain_variants": "select s_suppkey as entity_id, " + _CODED.format(key="s_suppkey") + " as variant from {supplier} union all select s_suppkey, concat('abu ', " + _CODED.format(key="s_suppkey") + ") from {supplier}",
     # a corpus, and passages to look for
     "corpus": "select doc_id as text_id, source as book_id, text from {documents}",
     "passages": "select item_id as passage_id, text from {benchmark}",
-    # one parsed chain for each line of a part: the words of names by supplier
-    "parsed": """select l_partkey as passage_id, l_orderkey as chain_id, min(l_suppkey) as a, max(l_suppkey) as b, min(l_quantity) as score from {lineitem} group by l_partkey, l_orderkey""",
+    # the chains of the orders of a part
+    "parsed": """select l_partkey as passage_id, l_orderkey as chain_id, min(l_quantity) as score from {lineitem} group by l_partkey, l_orderkey""",
     "books": """select 'daraqutni_mawsuah' as book, 'D' as title, '385 هـ' as author_death, 1 as ord union all select '1-URGENT', 'Urgent', '852 هـ', 2 union all select '2-HIGH', 'High', '327 هـ', 3
         union all select '3-MEDIUM', 'Medium', null, 4 union all select 'tahdhib', 'Tahdhib', '742 هـ', 5 union all select 'jami_al_tahsil', 'Jami', '761 هـ', 6""",
 }
