@@ -39,7 +39,11 @@ def edges_with_books(t: Tables) -> DataFrame:
 
 
 def links(t: Tables) -> DataFrame:
-    """The links of all chains with their evidence and status."""
+    """The links of all chains with their evidence and status, made once for a query."""
+    return t.once("links", lambda: _links_of(t))
+
+
+def _links_of(t: Tables) -> DataFrame:
     years = t.chain_entities.select("entity_id", T.parse_years(F.col("death")).alias("years"), "tadlis_tier")
     out = E.lookup_strongest_verb(E.lookup_negative(E.lookup_edges(C.chain_links(t.positions), edges_with_books(t)), t.denials), t.verbs)
     out = out.join(years.select(F.col("entity_id").alias("student_id"), F.col("years").alias("sy"), "tadlis_tier"), "student_id", "left").join(years.select(F.col("entity_id").alias("teacher_id"), F.col("years").alias("ty")), "teacher_id", "left")

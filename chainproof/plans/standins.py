@@ -7,9 +7,12 @@ a query needs, in order.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chainproof.sources.work import written
+
 GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: A name of two words for a key of up to five digits: each digit has letters of its place, so that no two
@@ -70,21 +73,26 @@ RELATIONS: dict[str, str] = {
 GIVEN_NAMES = {t: t for t in GIVEN}
 
 
-def with_clause(*names: str) -> str:
-    """"with a as (...), b as (...)" of the relations and what they build on; braces are kept."""
+#: Relations that many others build on: a query that uses one writes it and reads it from then on.
+SHARED = ("positions", "edge_books")
+
+
+def with_clause(*names: str, made: tuple[str, ...] = ()) -> str:
+    """"with a as (...), b as (...)" of the relations and what they build on; braces are kept. Those in
+    ``made`` are read as given tables of their own."""
     order: list[str] = []
 
     def add(n: str) -> None:
         if n in order:
             return
-        for m in RELATIONS:
+        for m in RELATIONS if n not in made else ():
             if m != n and re.search(rf"\b(?:from|join)\s+{m}\b", RELATIONS[n]):
                 add(m)
         order.append(n)
 
     for n in names:
         add(n)
-    return "with " + ", ".join(f"{n} as ({RELATIONS[n]})" for n in order)
+    return "with " + ", ".join(f"{n} as (select * from {{{n}}})" if n in made else f"{n} as ({RELATIONS[n]})" for n in order)
 
 
 def duck(*names: str, then: str) -> str:
@@ -97,17 +105,35 @@ def duck(*names: str, then: str) -> str:
 
 
 class Tables:
-    """The given tables and the relations made of them, as DataFrames."""
+    """The given tables and the relations made of them, as DataFrames. What a query uses more than once is
+    written on its first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table ``name`` of this query, made and written on its first use."""
+        if name not in self.made:
+            self.made[name] = written(make(), name)
+        return self.made[name]
+
+    def _sql(self, name: str) -> DataFrame:
+        # shared relations that this one builds on come first
+        on = [m for m in SHARED if m != name and re.search(rf"\b{m} as \(", with_clause(name))]
+        for m in on:
+            getattr(self, m)
+        made = tuple(m for m in self.made if m in on)
+        sql = f"{with_clause(name, made=made)} select * from {name}"
+        used = {t: self.given(t) for t in GIVEN if "{" + t + "}" in sql} | {m: self.made[m] for m in made if "{" + m + "}" in sql}
+        return self.spark.sql(sql, **used)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in GIVEN:
             return self.given(name)
-        sql = f"{with_clause(name)} select * from {name}"
-        used = {t: self.given(t) for t in GIVEN if "{" + t + "}" in sql}
-        return self.spark.sql(sql, **used)
+        if name not in RELATIONS:
+            raise AttributeError(name)
+        return self.once(name, lambda: self._sql(name)) if name in SHARED else self._sql(name)
