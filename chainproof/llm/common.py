@@ -24,7 +24,7 @@ def numbered_rows(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, str]:
 
 
 #: Rows of an Arrow batch that holds whole texts.
-BATCH = 2000
+BATCH = 500
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chainproof.llm.common import give_back, short_batches, sliced, written
-from chainproof.llm.tokens import encoder
+from chainproof.llm.tokens import encoder, forget_encoders
 
 
 class OpenBins:
@@ -112,7 +112,8 @@ def pieces(docs: DataFrame, *, capacity: int = 4096, vocabulary: str = "word_bpe
                     rows.append((doc, i // capacity, i, len(part) // 4, crc, crc if tie is None else tie) + ((part,) if with_ids else ()))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
-        enc.forget()
+        del enc
+        forget_encoders()
         give_back()
 
     short_batches(docs.sparkSession)

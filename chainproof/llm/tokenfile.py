@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chainproof.llm.common import give_back, short_batches, sliced
-from chainproof.llm.tokens import encoder
+from chainproof.llm.tokens import encoder, forget_encoders
 
 MANIFEST = "part int, n_docs long, n_tokens long, null_docs long, width int"
 
@@ -70,7 +70,8 @@ def _writer(path: str, vocabulary: str, key: str, text: str):
                 out["ids"].write(x.astype(kind).tobytes())
             n_tokens = int(ends[-1])
             n_docs += batch.num_rows
-        enc.forget()
+        del enc
+        forget_encoders()
         give_back()
         if out:
             for x, (own, final) in names.items():

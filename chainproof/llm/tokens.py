@@ -5,16 +5,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 
 #: Id appended to each document.
 END_ID = 1
 #: Pieces of text, and words without case and punctuation, kept with their ids in a task; beyond these
-#: the memory starts anew. What a worker keeps of either for its next task: the first, which are the
-#: common ones.
-PIECES, WORDS, KEPT = 600_000, 600_000, 60_000
+#: the memory starts anew.
+PIECES, WORDS = 300_000, 200_000
 
 #: A word of letters that are alike in every version of Unicode, and punctuation that ends it.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -94,15 +93,16 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in split]
 
 
-    def forget(self) -> None:
-        """Keeps ``KEPT`` of either memory, at the end of a task."""
-        self.pieces, self.words = (dict(islice(x.items(), KEPT)) for x in (self.pieces, self.words))
-
-
 def encoder(name_or_path: str) -> Encoder:
-    """This worker's encoder for a tokenizer file, given by path or by public name."""
+    """This task's encoder for a tokenizer file, given by path or by public name."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     path = name_or_path if os.path.sep in name_or_path else tokenizer_path(name_or_path)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget_encoders() -> None:
+    """At the end of a task: to load a tokenizer again takes less than a second, and the worker may be
+    used for other stages next."""
+    _encoders.clear()
