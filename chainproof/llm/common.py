@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,18 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
+@cache
+def _steady_heap() -> None:
+    """Has the C library map each piece of a megabyte or more by itself for good. Else it takes them from its
+    heap once it has seen large ones come and go, and a few small pieces then pin all of that."""
+    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def give_back() -> None:
     """Returns memory that Arrow and the C library keep for later to the system. Workers are used again
     for other stages, and share an executor's memory with the JVM."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
@@ -47,6 +58,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 500
     """The batches in runs of rows with about ``most`` bytes of text in ``column``, or one row, so that
     what a task holds as Python objects does not depend on how long the texts are. Gives memory back
     at the end."""
+    _steady_heap()
     try:
         for batch in batches:
             sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 16
