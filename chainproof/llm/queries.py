@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainproof.llm import chat, decontaminate, licences, neardup, packing, sharding, simhash, tokenfile, topk, toxicity, urlfilter
+from chainproof.llm import chat, decontaminate, licences, neardup, packing, repair, sharding, simhash, tokenfile, topk, toxicity, urlfilter, whitening
 from chainproof.llm.common import new_path, table
 
 
@@ -102,11 +102,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(v.where("id % 50 = 0"), v, 5)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest edits that repair every conversation, after damage."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash fingerprint and the component of near-copies of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -118,7 +128,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_top_k": op10_top_k,
+    "op11_repair": op11_repair,
     "op12_simhash": op12_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
