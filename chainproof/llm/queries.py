@@ -185,4 +185,63 @@ SQL: dict[str, str] = {
             where q.id % 50 = 0 group by 1, 2, 3, 4),
         r as (select *, cast(row_number() over (partition by uid order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op11_repair": r"""
+        with recursive bits as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                list_reduce(list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: cast(ord(c) as bigint)),
+                    lambda crc, b: list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(crc, b)), cast(4294967295 as bigint)) as crc
+            from conversations),
+        kinds as (select *, xor(crc, 4294967295) % 20 as kind from bits),
+        damaged as (
+            select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+                case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+                unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+            from kinds where kind <> 0),
+        placed_rows as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || text)) as i from damaged),
+        seen as (select *, row_number() over (partition by conv_id, role, text order by i) as again, rtrim(text, E' \t\n\x0b\f\r') as trimmed from placed_rows),
+        faults as (
+            select conv_id, turn, i, role, text, substr(role, 1, 1) as initial,
+                case when trimmed = '' then 1 when again > 1 then 2 when right(trimmed, 1) not in ('.', '!', '?') then 3 else 0 end as fault
+            from seen),
+        counts as (
+            select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                count(*) filter (where fault = 1) as blank, count(*) filter (where fault = 2) as duplicate, count(*) filter (where fault = 3) as truncated
+            from faults group by 1),
+        pairs as (select conv_id, lag(initial) over (partition by conv_id order by i) || initial as two from faults),
+        wrong as (select conv_id, count(*) filter (where two not in ('su', 'ua', 'au')) as illegal from pairs group by 1),
+        steps as (
+            select conv_id, cast(0 as bigint) as i, {'c': cast(0 as bigint), 'w': ''} as s0, {'c': cast(null as bigint), 'w': ''} as s1, {'c': cast(null as bigint), 'w': ''} as s2, {'c': cast(null as bigint), 'w': ''} as s3
+            from counts
+            union all
+            select conv_id, i, {'c': s0.c + 4, 'w': s0.w || 'D'} as s0,
+                list_min([{'c': s1.c + 4, 'w': s1.w || 'D'}, {'c': case when initial = 's' then s0.c + k end, 'w': s0.w || 'K'}]) as s1,
+                list_min([{'c': t2.c + 4, 'w': t2.w || 'D'}, {'c': s0.c + 3 + k, 'w': s0.w || 'R'}, {'c': s1.c + 3 + k, 'w': s1.w || 'R'}, {'c': t3.c + 3 + k, 'w': t3.w || 'R'},
+                    {'c': case when initial = 'u' then s0.c + k end, 'w': s0.w || 'K'}, {'c': case when initial = 'u' then s1.c + k end, 'w': s1.w || 'K'}, {'c': case when initial = 'u' then t3.c + k end, 'w': t3.w || 'K'}]) as s2,
+                list_min([{'c': t3.c + 4, 'w': t3.w || 'D'}, {'c': t2.c + 3 + k, 'w': t2.w || 'R'}, {'c': case when initial = 'a' then t2.c + k end, 'w': t2.w || 'K'}]) as s3
+            from (
+                select *, list_min([s3, {'c': t2.c + 3, 'w': t2.w || 'I'}]) as t3
+                from (
+                    select w.conv_id, f.i, s0, s1, s3, initial, case fault when 0 then 0 when 3 then 3 end as k,
+                        list_min([s2, {'c': s0.c + 3, 'w': s0.w || 'I'}, {'c': s1.c + 3, 'w': s1.w || 'I'}, {'c': s3.c + 3, 'w': s3.w || 'I'}]) as t2
+                    from steps w join faults f on w.conv_id is not distinct from f.conv_id and f.i = w.i + 1))),
+        last as (
+            select s.conv_id, list_min([s0, s3, {'c': t2.c + 3, 'w': t2.w || 'I'}]) as best
+            from (select *, list_min([s2, {'c': s0.c + 3, 'w': s0.w || 'I'}, {'c': s1.c + 3, 'w': s1.w || 'I'}, {'c': s3.c + 3, 'w': s3.w || 'I'}]) as t2 from steps) s
+            join counts c on s.conv_id is not distinct from c.conv_id and s.i = c.n),
+        edits as (select conv_id, best.w as audit, unnest(string_split(best.w, '')) as edit, unnest(range(length(best.w))) as p, length(replace(best.w, 'D', '')) as kept from last where best.w <> ''),
+        placed as (
+            select *, sum(case when edit <> 'I' then 1 else 0 end) over o as i, sum(case when edit <> 'D' then 1 else 0 end) over o - 1 as nth
+            from edits window o as (partition by conv_id order by p)),
+        lines as (
+            select e.conv_id, p, case when edit = 'K' then role when (nth + kept) % 2 = 0 then 'user' else 'assistant' end || ':' || case when edit = 'I' then '' else text end as line
+            from placed e join faults f on e.conv_id is not distinct from f.conv_id and f.i = greatest(e.i, 1)
+            where edit <> 'D'),
+        texts as (select conv_id, sha256(string_agg(line, chr(10) order by p)) as repaired_sha256 from lines group by 1)
+        select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+            coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost, coalesce(best.w, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+        from (select distinct conv_id from conversations) o
+        left join counts c on o.conv_id is not distinct from c.conv_id
+        left join wrong w on o.conv_id is not distinct from w.conv_id
+        left join last l on o.conv_id is not distinct from l.conv_id
+        left join texts t on o.conv_id is not distinct from t.conv_id""",
 }
