@@ -111,7 +111,9 @@ NARRATION = r"^(روى\s+(?:عن|عنه)|حدثنا|حدثناه|أخبرنا|أ
 SPEAKER = r"(?:قال|وقال|قال\s+لي|سئل|وذكر|قال\s+لنا)\s+(?:(?:أبو|أبي)\s+الحسن\s+)?ال[دذ][َّ ]*ا?رَ?ا?قُ?ط[ْ]?نِ?ي[ّ]?\s*(?::|في\s+«[^»]+»\s*:)"
 RELAY = r"قال\s+([^:]{1,40})\s*:\s*$"
 #: Marks of parallel chains and of joint speech; relatives. Fixed values.
-BRANCH_MARK, FORK, JOINT = "ح", "وعن", ("قالا", "قالوا")
+BRANCH_MARK, LINK, JOINT = "ح", "عن", ("قالا", "قالوا", "كلاهما", "كلهم", "جميعا")
 FATHER, GRANDFATHER = ("أبيه", "ابيه"), ("جده",)
+#: How a name that is the source begins, on normalised text. Fixed value.
+SOURCE_MENTION = r"^(?:رسول\s+الله|النبي|محمد\s+رسول|سيدنا\s+محمد|محمد\s+صلي|ﷺ)"
 #: Levels of spread. Fixed values.
 MANY, SOME, TWO = 10, 3, 2

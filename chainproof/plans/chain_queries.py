@@ -532,23 +532,42 @@ def _(t: Tables) -> DataFrame:
     return P.segment_chain(t.spark.sql(_CHAINS, conversations=t.conversations), _LEXICON)[0]
 
 
-@query("px05_px06_branches", duck(then="""
-    with x as (select conv_id * 100 + turn as chain_id, trim(regexp_replace(regexp_replace(text, '[.]', ' ح', 'g'), '\\s+', ' ', 'g')) as t from conversations where text is not null),
-    p as (select chain_id, list_filter(list_transform(regexp_split_to_array(t, '(?:^|\\s)ح(?:\\s+(?:قال\\s+)?و?|$)'), lambda q: trim(q)), lambda q: q <> '') as p from x),
-    b as (select chain_id, p, regexp_extract(p[len(p)], '^(?:with|from|that)\\s.*?\\s((?:with|from|that)\\s.*)$', 1) as tail from p),
-    w as (select chain_id, case when len(p) = 0 then [''] else list_transform(p, lambda q, i: case when i < len(p) and tail <> '' then q || ' ' || tail else q end) end as w from b),
-    u as (select chain_id, unnest(range(len(w))) as branch_no, unnest(w) as text from w),
-    s as (select chain_id, branch_no, regexp_extract(regexp_replace(' ' || regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[،,]\\s*', ' ', 'g') || ' ', '( (?:with|from|that))\\s*:', '\\1 ', 'g'), '^([^.:؛]*)', 1) || ' ' as t from u),
-    m as (select chain_id, branch_no, string_split(regexp_replace(replace(t, ' ', '  '), ' (with|from|that) ', ' ' || chr(1) || '\\1' || chr(1), 'g'), chr(1)) as p from s),
-    i as (select chain_id, branch_no, p, unnest(range(1, (len(p) - 1) // 2 + 1)) as i from m),
-    n as (select chain_id, branch_no, cast(i - 1 as integer) as pos, trim(regexp_replace(regexp_extract(p[2 * i + 1], '^([^.:؛]*)', 1), '\\s+', ' ', 'g')) as name, case p[2 * i + 2] when 'with' then 'haddathana' when 'from' then 'an' when 'that' then 'anna' end as formula from i),
-    k as (select *, lag(name) over (partition by chain_id, branch_no order by pos) as before from n where name <> ''),
-    o as (select *, list_transform(regexp_split_to_array(before, '\\s+of\\s+'), lambda q: trim(q)) as parts from k)
-    select chain_id, cast(branch_no as integer) as branch_no, pos, formula, case when name = 'it' and len(parts) >= 2 then array_to_string(parts[2:], ' of ') when name = 'is' and len(parts) >= 3 then array_to_string(parts[3:], ' of ') else name end as name from o"""))
-def _(t: Tables) -> DataFrame:
-    texts = t.spark.sql(_CHAINS, conversations=t.conversations).withColumn("text", F.regexp_replace("text", r"[.]", " ح"))
-    branches = P.split_branches(texts, verbs=list(_LEXICON))
-    return P.resolve_relatives(P.segment_chain(branches, _LEXICON)[0], father=("it",), grandfather=("is",), son_of="of")
+# Chains of four kinds of branching, spelt out; the SQL has the branches that they were spelt from.
+_SPELT = """
+    f as (select chain_id, entity_id, min(pos) as p from positions group by 1, 2),
+    e as (select chain_id, list('م' || entity_id || ' بن ن' || entity_id order by p) as n, list('ن' || entity_id order by p) as fathers from f group by 1),
+    k as (select *, case when len(n) >= 4 then chain_id % 5 else 0 end as kind, list_transform(n, lambda x: {'v': 'an', 'n': x}) as l from e),
+    b as (
+        select chain_id, 0 as branch_no, list_concat([{'v': 'haddathana', 'n': n[1]}], l[2:]) as b from k where kind = 0
+        union all select chain_id, 0, list_concat([{'v': 'haddathana', 'n': n[1]}, {'v': 'haddathana', 'n': n[2]}], l[3:]) from k where kind = 1
+        union all select chain_id, 1, list_concat([{'v': 'haddathani', 'n': 'ش' || chain_id}, {'v': 'haddathana', 'n': n[2] || ' البصري'}], l[3:]) from k where kind = 1
+        union all select chain_id, 0, [{'v': 'haddathana', 'n': n[1]}, {'v': 'haddathana', 'n': n[2]}, l[3], {'v': 'an', 'n': fathers[3]}] from k where kind = 2
+        union all select chain_id, 1, list_concat([{'v': 'haddathana', 'n': n[1]}, {'v': 'haddathana', 'n': n[2]}], l[4:]) from k where kind = 2
+        union all select chain_id, 0, [{'v': 'haddathana', 'n': n[1]}, l[2]] from k where kind = 3
+        union all select chain_id, 1, list_concat([{'v': 'haddathana', 'n': n[3]}], l[4:]) from k where kind = 3
+        union all select chain_id, 0, list_concat([{'v': 'haddathani', 'n': n[1]}, {'v': 'akhbarana', 'n': n[2]}], l[3:]) from k where kind = 4),
+    u as (select chain_id, cast(branch_no as integer) as branch_no, b, unnest(range(len(b))) as pos from b)
+    select chain_id, branch_no, cast(pos as integer) as pos, b[pos + 1].n as name, b[pos + 2].v as formula from u"""
+
+
+def spelt_branches(t: Tables) -> DataFrame:
+    """(chain_id, text): chains of the tables in one of five spellings, four of which branch or name two speakers."""
+    first = t.positions.groupBy("chain_id", "entity_id").agg(F.min("pos").alias("p"))
+    ids = first.groupBy("chain_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "entity_id"))), lambda x: x["entity_id"].cast("string")).alias("ids"))
+    rows = ids.withColumn("n", F.transform("ids", lambda x: F.concat(F.lit("م"), x, F.lit(" بن ن"), x)))
+    name = lambda i: F.get("n", F.lit(i))
+    rest = lambda i: F.array_join(F.slice("n", i + 1, F.greatest(F.size("n") - i, F.lit(0))), "، عن ")
+    kind = F.when(F.size("n") >= 4, F.col("chain_id") % 5).otherwise(0)
+    spelt = F.when(kind == 1, F.concat(F.lit("حدثنا "), name(0), F.lit("، حدثنا "), name(1), F.lit("، ح قال وحدثني ش"), F.col("chain_id"), F.lit("، حدثنا "), name(1), F.lit(" البصري، عن "), rest(2)))
+    spelt = spelt.when(kind == 2, F.concat(F.lit("حدثنا "), name(0), F.lit("، حدثنا "), name(1), F.lit("، عن "), name(2), F.lit("، عن أبيه، وعن "), rest(3)))
+    spelt = spelt.when(kind == 3, F.concat(F.lit("حدثنا "), name(0), F.lit("، عن "), name(1), F.lit("، وحدثنا "), rest(2)))
+    spelt = spelt.when(kind == 4, F.concat(F.lit("حدثني "), name(0), F.lit("، وهارون بن سعيد، قالا أخبرنا "), rest(1)))
+    return rows.select("chain_id", F.concat(spelt.otherwise(F.concat(F.lit("حدثنا "), rest(0))), F.lit("، أن النبي ﷺ قال: متن")).alias("text"))
+
+
+@query("px05_px06_branches", duck("positions", then="with " + _SPELT))
+def _(t: Tables) -> DataFrame:
+    return P.segment_chain(P.split_branches(spelt_branches(t)))[0]
 
 
 @query("px07_parse_replies", duck(then="""

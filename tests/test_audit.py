@@ -45,6 +45,7 @@ def test_audit(spark, registry):
         (6, f"حدثنا زفزاف ضضض عن نافع مولى ابن عمر: {PASSAGE}"),
         (7, PASSAGE), (8, None), (9, "ن" * 4001), (10, "لا شيء من ذلك"),
         (11, f"حدثنا سفيان الضعيف البصري عن عبد الله بن عمر ح وحدثنا مالك بن أنس عن نافع مولى ابن عمر عن عبد الله بن عمر: {raised}"),
+        (12, f"حدثنا مالك بن أنس عن نافع مولى ابن عمر وعن عبد الله بن عمر: {PASSAGE}"),
     ]
     rows = {r["text_id"]: r for r in audit(spark.createDataFrame(texts, "text_id long, text string"), registry).collect()}
     assert len(rows) == len(texts)
@@ -62,6 +63,8 @@ def test_audit(spark, registry):
     assert (rows[7]["status"], rows[7]["verdict"], rows[7]["matches"], rows[7]["rank"], rows[7]["spread"]) == ("ok", "needs_review", 3, None, "unknown")
     assert (rows[8]["status"], rows[8]["verdict"], rows[9]["status"]) == ("missing", None, "too_long")
     assert (rows[10]["verdict"], rows[10]["matches"]) == ("needs_review", 0)
+    # from the pivot, the other branch claims a contact that dates forbid
+    assert (rows[12]["branches"], rows[12]["verdict"], rows[12]["terminal_id"]) == (2, "sahih_candidate", 2)
     assert (rows[11]["branches"], rows[11]["verdict"], rows[11]["confirmed_by"]) == (2, "sahih_candidate", None)
 
 

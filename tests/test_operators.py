@@ -92,6 +92,36 @@ def test_chain_and_branches(spark):
     assert got[1] == ["حدثنا أحمد عن حماد عن هشام", "حدثنا أحمد عن ثابت"]
 
 
+def test_branches_of_worked_examples(spark):
+    """A lone mark, a fork from a pivot, teachers of their own, joint speech, relatives, and texts without any of these."""
+    want = {
+        "حدثنا أبو بكر، حدثنا إسماعيل، ح قال وحدثني زهير، حدثنا إسماعيل بن إبراهيم، عن يونس، عن حميد": [["أبو بكر", "إسماعيل", "يونس", "حميد"], ["زهير", "إسماعيل بن إبراهيم", "يونس", "حميد"]],
+        "حدثنا أبو بكر بن أبي شيبة وعمرو الناقد كلاهما عن الأسود بن عامر، حدثنا أسود، حدثنا حماد بن سلمة، عن هشام بن عروة، عن أبيه، عن عائشة، وعن ثابت، عن أنس، أن النبي ﷺ قال: كذا": [["أبو بكر بن أبي شيبة", "الأسود بن عامر", "حماد بن سلمة", "هشام بن عروة", "عروة", "عائشة"], ["أبو بكر بن أبي شيبة", "الأسود بن عامر", "حماد بن سلمة", "ثابت", "أنس"]],
+        "حدثنا علي عن سفيان وحدثنا عمر عن هشام": [["علي", "سفيان"], ["عمر", "هشام"]],
+        "أخبرنا علي عن سفيان، قال: وأخبرنا عمر": [["علي", "سفيان"], ["عمر"]],
+        "حدثنا علي عن سفيان وأخبرنا عمر عن سفيان عن نافع": [["علي", "سفيان", "نافع"], ["عمر", "سفيان", "نافع"]],
+        "حدثنا أحمد ح وحدثنا زهير ح وحدثنا قتيبة عن مالك عن نافع": [["أحمد", "مالك", "نافع"], ["زهير", "مالك", "نافع"], ["قتيبة", "مالك", "نافع"]],
+        "حدثنا ابن علية حدثنا ابن نمير ح وحدثني زهير حدثنا شعبة عن قتادة": [["ابن علية", "ابن نمير", "قتادة"], ["زهير", "شعبة", "قتادة"]],
+        "حدثني أبو الطاهر، وهارون بن سعيد الأيلي، قالا أخبرنا ابن وهب، عن يونس: متن": [["أبو الطاهر", "ابن وهب", "يونس"]],
+        "حدثنا وكيع وابن نمير وأبو معاوية قالوا حدثنا الأعمش": [["وكيع", "الأعمش"]],
+        "حدثنا أبو وائل وعمر قالا حدثنا الأعمش عن أمه عن عمه": [["أبو وائل", "الأعمش", "أمه", "عمه"]],
+        "عن عمر بن إسحاق بن يسار عن جده وعن أنس": [["عمر بن إسحاق بن يسار", "يسار"], ["عمر بن إسحاق بن يسار", "أنس"]],
+        "حدثنا علي بن محمد عن محمد عن إسحاق عن أبيه": [["علي بن محمد", "محمد", "إسحاق", "أبيه"]],
+        "لا شيء": [], "": [], None: [],
+    }
+    texts = spark.createDataFrame(list(enumerate(want)), "chain_id long, text string")
+    branches = P.split_branches(texts)
+    positions, payload = P.segment_chain(branches)
+    got = defaultdict(lambda: defaultdict(list))
+    for r in positions.orderBy("chain_id", "branch_no", "pos").collect():
+        got[r["chain_id"]][r["branch_no"]].append(r["name"])
+    for i, (text, names) in enumerate(want.items()):
+        assert list(got[i].values()) == names, text
+        assert all(len(b) == len(set(b)) for b in names)
+    said = {(r["chain_id"], r["branch_no"]): r["payload"] for r in payload.collect()}
+    assert said[1, 0] == said[1, 1] == "أن النبي ﷺ قال كذا" and said[7, 0] == "متن" and said[12, 0] == "لا شيء"
+
+
 def test_attributed_verdicts(spark):
     paras = spark.createDataFrame([(1, 0, "• قال البرقاني: قال الدارقطني: ثقة (١٢). وقال الدارقطني: ضعيف."), (2, 0, "لا شيء")], "page long, para_no int, text string")
     rows = P.extract_attributed(paras).orderBy("verdict_no").collect()
