@@ -261,7 +261,10 @@ def _examples(texts: DataFrame, sample: DataFrame) -> DataFrame:
     one = texts.join(F.broadcast(sample), "id").select("id", "y", "text")  # 2 * SAMPLE ids at most
     found = written(one.mapInArrow(spell, "id long, y int, terms binary, counts binary").withColumn("hash", F.xxhash64("terms", "counts")), "examples")
     first = found.groupBy("hash", "y").agg(F.min("id").alias("id"))
-    return written(found.join(first, ["hash", "y", "id"], "left_semi").dropDuplicates(["hash", "y", "id"]).drop("hash"), "examples")
+    different = written(found.join(first, ["hash", "y", "id"], "left_semi").dropDuplicates(["hash", "y", "id"]), "different")
+    # one id may have many texts: the bound is on rows
+    parts = [different.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id", "hash").limit(SAMPLE).drop("hash") for v in (0, 1)]
+    return written(parts[0].unionByName(parts[1]), "examples")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:

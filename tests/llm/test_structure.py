@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import xxhash
 
-from chainproof.llm import repair, simhash, whitening
+from chainproof.llm import repair, simhash, toxicity, whitening
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -289,3 +289,13 @@ def test_whitening_at_the_edges(spark):
     assert sorted((r["vec_id"], r["component"], r["whitened"] and round(abs(r["whitened"]), 9)) for r in two) == [(i, c, 1.0 if c == 1 else None) for i in (1, 2) for c in (1, 2, 3)]
     far = whitening.whiten(table([(1, [1e300, 0.0]), (2, [-1e300, 5.0]), (3, [1e14, 5.0])])).collect()
     assert {r["deviation"] for r in far} == {(1 << 63) - 1} and max(r["identity_error"] for r in far) < 1e-9
+
+
+def test_examples_are_bounded_by_rows(spark, monkeypatch):
+    """Many texts under one labelled id do not become as many examples."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    learned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    clean = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5][:15]
+    docs = [(learned, f"bad word{i} word{i + 1} text") for i in range(300)] + [(i, f"good thing{i} said here") for i in clean]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(learned, 1)] + [(i, 0) for i in clean], "doc_id long, toxic int"))
+    assert int(model.labels.sum()) == 20 and len(model.labels) == 35
