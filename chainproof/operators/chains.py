@@ -15,6 +15,7 @@ from chainproof.functions import lexicons as X
 from chainproof.functions import rules
 from chainproof.functions.similarity import same_entity
 from chainproof.functions.text import formula_strength, name_tokens, normalize, short_name
+from chainproof.sources.work import written
 
 CHAIN = ["chain_id", "branch_no"]
 
@@ -119,23 +120,51 @@ def disambiguate(candidates: DataFrame, edges: DataFrame, years: DataFrame, hint
     return best.select(*at, F.col("m.entity_id").alias("entity_id"), (-F.col("m.a")).alias("support"))
 
 
+def _keys_of(t: Column) -> Column:
+    """Keys of a sorted token set, one of which any other has that SC-24 takes for the same: two tokens in common, or, of
+    sets of one or two, one."""
+    pairs = F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.size(t)), lambda y: F.xxhash64(x, y))))
+    return F.when(F.size(t) <= 2, F.concat(pairs, F.transform(t, lambda x: F.xxhash64(x)))).otherwise(pairs)
+
+
+def folded_names(members: DataFrame, group: list[str], *, order: str = "o", name: str = "name", noise: list[str], affixes: list[str]) -> DataFrame:
+    """``members`` (group, name, order; names of a group distinct) without those that SC-24 takes for the same as an earlier one that stays:
+    what a fold over each group in its order leaves, without a fold.
+
+    A name is settled once all earlier ones like it are: it stays if none of them does. In rounds, names with no earlier
+    one like them left stay, and those like these go, so that a group takes as many rounds as its longest run of names
+    that decide each other, a few, and is never one row. Names meet over an index of their tokens.
+    """
+    tokens = members.select(name).distinct().withColumn("t", F.array_sort(name_tokens(F.col(name), noise, affixes)))
+    tokens = written(tokens.withColumn("keys", _keys_of(F.col("t"))), "tokens")
+    keyed = members.join(tokens.where(F.size("keys") > 0), name).select(*group, F.col(order).alias("o"), F.col(name).alias("n"), "t", F.explode("keys").alias("k"))
+    one = keyed.toDF(*group, "o1", "n1", "t1", "k")
+    met = one.join(keyed, [*group, "k"]).where((F.col("o1") < F.col("o")) & same_entity(F.col("n1"), F.col("n"), F.col("t1"), F.col("t")))
+    links = written(met.select(*group, "n1", "n").distinct(), "links")
+    gone = None
+    while not links.isEmpty():
+        later = links.select(*group, F.col("n").alias("n1")).distinct()
+        goes = written(links.join(later, [*group, "n1"], "left_anti").select(*group, "n").distinct(), "goes")
+        gone = goes if gone is None else gone.unionByName(goes)
+        links = links.join(goes, [*group, "n"], "left_anti").join(goes.withColumnRenamed("n", "n1"), [*group, "n1"], "left_anti")
+        links = written(links, "links")
+    return members if gone is None else members.join(gone.withColumnRenamed("n", name), [*group, name], "left_anti")
+
+
 def level_counts(chains: DataFrame, key: str = "passage_id", *, noise: list[str] | None = None, affixes: list[str] | None = None) -> DataFrame:
     """AG-5: (key, level, n, samples) of ``chains`` (key, score, chain_id, names from compiler to
     source): names at each level from the source, in order of falling score and chain_id, folded
-    into clusters by SC-24 against each cluster's first name.
-
-    Names that repeat at a level are folded once; what is gathered per level is its distinct names,
-    of a passage's matched chains.
+    into clusters by SC-24 against each cluster's first name; the five first as samples.
     """
     noise = X.NAME_NOISE["align"] if noise is None else noise
     affixes = X.NAME_AFFIXES["align"] if affixes is None else affixes
-    rows = chains.select(key, "score", "chain_id", F.posexplode(F.reverse("names")).alias("level", "name"))
+    rows = chains.select(key, "score", "chain_id", F.posexplode(F.reverse("names")).alias("level", "name")).where("name is not null")
     first = rows.groupBy(key, "level", "name").agg(F.min(F.struct((-F.col("score")).alias("s"), "chain_id")).alias("o"))
-    named = first.withColumn("t", name_tokens(F.col("name"), noise, affixes))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("o", "name", "t"))), lambda x: F.struct(x["name"].alias("name"), x["t"].alias("t")))
-    fold = F.aggregate("names", F.slice("names", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda g: same_entity(g["name"], x["name"], g["t"], x["t"])), acc).otherwise(F.array_append(acc, x)))
-    out = named.groupBy(key, "level").agg(ordered.alias("names")).withColumn("groups", fold)
-    return out.select(key, "level", F.size("groups").alias("n"), F.slice(F.transform("groups", lambda g: g["name"]), 1, 5).alias("samples"))
+    first = written(first.withColumn("o", F.struct("o.s", "o.chain_id", "name")), "levels")
+    stay = folded_names(first, [key, "level"], noise=noise, affixes=affixes)
+    rank = F.row_number().over(W.partitionBy(key, "level").orderBy("o"))
+    samples = stay.withColumn("r", rank).where("r <= 5").groupBy(key, "level").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("samples"))
+    return stay.groupBy(key, "level").agg(F.count(F.lit(1)).cast("int").alias("n")).join(samples, [key, "level"])
 
 
 def bottleneck(levels: DataFrame, chains: DataFrame, matches: DataFrame, key: str = "passage_id") -> DataFrame:

@@ -90,3 +90,23 @@ def test_fold_of_names_is_brute_force(spark):
         want |= {(p, level): (len(g), g[:5]) for level, g in levels.items()}
     got = C.level_counts(spark.createDataFrame(chains, "passage_id long, score long, chain_id long, names array<string>")).collect()
     assert {(r["passage_id"], r["level"]): (r["n"], r["samples"]) for r in got} == want
+
+
+def test_fold_in_rounds_is_the_fold(spark):
+    """Random names of few tokens, so that runs of names decide each other."""
+    import random
+
+    rng = random.Random(2)
+    words = ["مالك", "انس", "عمر", "نافع", "زيد", "بكر"]
+    rows = [(g, i, " ".join(rng.sample(words, rng.randint(1, 4)))) for g in range(25) for i in range(30)]
+    rows = list({(g, n): (g, i, n) for g, i, n in rows}.values())
+    same = lambda x, y: 2 * len(x & y) >= len(x | y) or (min(len(x), len(y)) >= 2 and (x <= y or y <= x))
+    want = set()
+    for g in range(25):
+        stay = []
+        for _, _, n in sorted(r for r in rows if r[0] == g):
+            if not any(same(set(n.split()), set(m.split())) for m in stay):
+                stay.append(n)
+        want |= {(g, n) for n in stay}
+    got = C.folded_names(spark.createDataFrame(rows, "g long, o long, name string"), ["g"], noise=["بن"], affixes=["الكوفي"]).collect()
+    assert {(r["g"], r["name"]) for r in got} == want and len(got) == len(want)
