@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chainproof.functions import lexicons as X
 from chainproof.functions import rules
+from chainproof.functions import similarity as S
 from chainproof.functions import text as T
 from chainproof.operators import chains as C
 from chainproof.operators import evidence as E
@@ -449,6 +450,24 @@ def _(t: Tables) -> DataFrame:
     return A.passage_match_topk(t.passages, t.corpus).withColumn("score", F.round("score", 6))
 
 
+# the name of a part against the full name of the next
+@query("sc21_word_similarity", duck("registry", then=f"""
+    , q as (select p_partkey as id, {NORMAL("p_name")} as q, {NORMAL("full_name")} as t from part join registry on entity_id = p_partkey + 1),
+    g as (select id, {GRAMS("q")} as q, {WORDS("q")} as qw, {WORDS("t")} as w from q),
+    o as (select id, q, qw, w, flatten(list_transform(w, lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('  ' || x || ' ', i, 3)))) as o from g),
+    a as (select id, q, o, unnest(range(1, len(o) + 1)) as i from o),
+    b as (select id, max(len(list_intersect(q, x)) / (len(q) + len(x) - len(list_intersect(q, x)))) as extent from (select id, q, list_distinct(o[i:j]) as x from (select *, unnest(range(i, len(o) + 1)) as j from a)) group by 1),
+    s as (select id, q, qw, w, unnest(range(1, len(w) + 1)) as i from o),
+    r as (select id, q, len(qw) as n, w, i, j, list_distinct(flatten(list_transform(w[i:j], lambda y: list_transform(range(1, len(y) + 2), lambda k: substr('  ' || y || ' ', k, 3))))) as x from (select *, unnest(range(i, len(w) + 1)) as j from s)),
+    c as (select id, max(len(list_intersect(q, x)) / (len(q) + len(x) - len(list_intersect(q, x)))) as strict, max(case when j - i + 1 = least(n, len(w)) then len(list_intersect(q, x)) / len(q) end) as words from r group by 1)
+    select id, round(extent, 6) as extent, round(strict, 6) as strict, round(words, 6) as words from b join c using (id)"""))
+def _(t: Tables) -> DataFrame:
+    both = t.part.select(F.col("p_partkey").alias("id"), T.normalize(F.col("p_name")).alias("q")).join(t.registry.select((F.col("entity_id") - 1).alias("id"), T.normalize(F.col("full_name")).alias("t")), "id")
+    both = both.select("id", S.trigrams(F.col("q")).alias("g"), F.size(T.words(F.col("q"))).alias("n"), S.ordered_trigrams(F.col("t")).alias("o"), T.words(F.col("t")).alias("w"))
+    kinds = {"extent": S.extent_similarity(F.col("g"), F.col("o")), "strict": S.extent_similarity(F.col("g"), F.col("o"), strict=True), "words": S.word_similarity(F.col("g"), F.col("n"), F.col("w"))}
+    return both.select("id", *[F.round(c, 6).alias(n) for n, c in kinds.items()])
+
+
 # Text to rows
 
 _P = f"""with b as (select page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) as b from pages),

@@ -55,3 +55,24 @@ def test_protected_class_without_generation(spark):
     grades = spark.createDataFrame([(1, 1, "b", "weak", "x"), (2, 2, "b", "weak", "x")], "grade_id long, entity_id long, source_book string, bucket string, grade_text string")
     rows = E.graded_rows(grades, E.protected_entities(entities, grades), "harshest").collect()
     assert [r["entity_id"] for r in rows] == [1]
+
+
+def test_word_similarity_of_extents(spark):
+    """Examples that the documentation of the database extension gives, and brute force."""
+    words = ["word", "two words", "words", "a word in two words wordless", "sword", "", "two"]
+    grams = lambda w: [f"  {w} "[i : i + 3] for i in range(len(w) + 1)]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words], "q string, t string")
+    g, o = similarity.trigrams(F.col("q")), similarity.ordered_trigrams(F.col("t"))
+    out = rows.select("q", "t", similarity.extent_similarity(g, o), similarity.extent_similarity(g, o, strict=True), similarity.extent_similarity(g, o, least=0.4)).collect()
+    known = {(r[0], r[1]): r[2:4] for r in out}
+    assert known["word", "two words"] == (0.8, 4 / 7) and known["word", "words"] == (0.8, 4 / 7)
+
+    def best(q, units):
+        runs = [set().union(*units[i:j]) for i in range(len(units)) for j in range(i + 1, len(units) + 1)]
+        return max((len(q & x) / len(q | x) for x in runs), default=0.0)
+
+    for q, t, extent, strict, over in out:
+        own = set().union(*map(grams, q.split())) if q else set()
+        want = best(own, [{x} for w in t.split() for x in grams(w)]) if own else 0.0
+        assert abs(extent - want) < 1e-12 and abs(strict - (best(own, [set(grams(w)) for w in t.split()]) if own else 0.0)) < 1e-12
+        assert abs(over - want) < 1e-12 or want < 0.4
