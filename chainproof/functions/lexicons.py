@@ -7,8 +7,8 @@ from __future__ import annotations
 FOLD_FROM, FOLD_TO = "أإآٱىة", "اااايه"
 #: Marks and the lengthening stroke, which are deleted. Fixed values.
 MARKS = r"[\u0610-\u061A\u064B-\u065F\u0670\u0640]"
-#: A base letter with a combining mark, and the composed letter. Fixed values.
-COMPOSED = {"\u0627\u0653": "\u0622", "\u0627\u0654": "\u0623", "\u0627\u0655": "\u0625", "\u0648\u0654": "\u0624", "\u064A\u0654": "\u0626", "\u06D5\u0654": "\u06C0", "\u06C1\u0654": "\u06C2", "\u06D2\u0654": "\u06D3"}
+#: Those of them whose combining classes are under those of the marks that letters compose with. Fixed values.
+VOWEL_SIGNS = r"[\u064B-\u0652\u0670]"
 #: Eastern digits in order. Fixed values.
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chainproof.functions import lexicons as X
+from chainproof.functions.nfc import nfc
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -20,9 +21,9 @@ def squeezed(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """SC-1: composes, deletes marks, folds letter forms, squeezes blanks. Idempotent."""
-    for pair, one in X.COMPOSED.items():
-        c = F.replace(c, F.lit(pair), F.lit(one))
+    """SC-1: composes (NFC), deletes marks, folds letter forms, squeezes blanks. Idempotent."""
+    # vowel signs go first: they neither take part in a composition nor bar one, and are in most texts with marks
+    c = F.get(F.transform(F.array(F.regexp_replace(c, X.VOWEL_SIGNS, "")), nfc), F.lit(0))  # worked out once
     return squeezed(F.translate(F.regexp_replace(c, X.MARKS, ""), X.FOLD_FROM, X.FOLD_TO))
 
 

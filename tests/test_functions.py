@@ -76,3 +76,22 @@ def test_word_similarity_of_extents(spark):
         want = best(own, [{x} for w in t.split() for x in grams(w)]) if own else 0.0
         assert abs(extent - want) < 1e-12 and abs(strict - (best(own, [set(grams(w)) for w in t.split()]) if own else 0.0)) < 1e-12
         assert abs(over - want) < 1e-12 or want < 0.4
+
+
+def test_composition_is_that_of_unicode(spark):
+    """All characters of the Basic Multilingual Plane, decomposed and not, and random runs of marks and letters."""
+    import random
+
+    from chainproof.functions.nfc import nfc
+
+    plane = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    apart = [d for c in plane if (d := unicodedata.normalize("NFD", c)) != c]
+    rng = random.Random(1)
+    marks = [c for c in plane if unicodedata.combining(c)]
+    odd = marks + [d[0] for d in apart] + [d[-1] for d in apart] + list("aeouاوي") + [chr(c) for c in range(0x1100, 0x1200)]
+    runs = ["".join(rng.choice((rng.choice(odd), rng.choice(marks), rng.choice("aeo اوي"))) for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = plane + apart + runs + ["e\u0301", "", "plain", "\U0001d15e x\u0301"]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(4).select("i", nfc(F.col("s"))).collect()
+    assert all(got == unicodedata.normalize("NFC", texts[i]) for i, got in out if texts[i] != texts[-1])
+    assert out and one(spark, nfc(F.col("c")), None) is None
+    assert one(spark, T.normalize(F.col("c")), "Cafe\u0301 a\u064e\u0654") == "Caf\u00e9 a\u0654".replace("\u0654", "")
