@@ -100,24 +100,42 @@ def apply_decisions(positions: DataFrame, candidates: DataFrame, decisions: Data
 
 
 def disambiguate(candidates: DataFrame, edges: DataFrame, years: DataFrame, hints: DataFrame | None = None, near: int = 80) -> DataFrame:
-    """JN-8: per position the candidate (chain_id, branch_no, pos, entity_id, score) that its
-    neighbours support best: a hint (entity_id, student_id) counts 4, an edge with a candidate next
-    to it 2, years within ``near`` of one 1; then score, then the smaller id."""
+    """JN-8: per position one of its candidates (chain_id, branch_no, pos, entity_id, score), chosen for the chain as a whole:
+    the path through the candidates whose links weigh most, of equal ones that of most score (in millionths), then of the
+    smaller ids from the first position on. A link between candidates of neighbouring positions weighs 4 for a hint (entity_id, student_id), 2 for an
+    edge and 1 for years within ``near``. ``support`` is what the links on either side weigh.
+
+    A dynamic program in one fold over each chain keeps the best path to each candidate of the position reached.
+    """
     at = [*CHAIN, "pos"]
-    c = candidates.join(years.select("entity_id", "year"), "entity_id", "left").select(*at, "entity_id", "score", "year")
+    own = candidates.groupBy(*at, "entity_id").agg(F.round(F.max("score") * 1_000_000).cast("long").alias("m"))
+    c = own.join(years.groupBy("entity_id").agg(F.min("year").alias("year")), "entity_id", "left")
     below = c.select(*CHAIN, (F.col("pos") + 1).alias("pos"), F.col("entity_id").alias("s"), F.col("year").alias("sy"))
     e = edges.select(F.col("student_id").alias("s"), F.col("teacher_id").alias("entity_id"), F.lit(2).alias("edge")).distinct()
     pairs = c.join(below, at).join(e, ["s", "entity_id"], "left")
-    close = F.when(F.abs(F.col("sy") - F.col("year")) <= near, 1).otherwise(0)
-    pairs = pairs.select(*at, "entity_id", "s", (F.coalesce("edge", F.lit(0)) + close).alias("w"))
+    weight = F.coalesce("edge", F.lit(0)) + F.when(F.abs(F.col("sy") - F.col("year")) <= near, 1).otherwise(0)
     if hints is not None:
-        pairs = pairs.join(hints.select("entity_id", F.col("student_id").alias("s"), F.lit(4).alias("h")).distinct(), ["s", "entity_id"], "left").withColumn("w", F.col("w") + F.coalesce("h", F.lit(0))).drop("h")
-    up = pairs.groupBy(*at, "entity_id").agg(F.max("w").alias("w"))
-    down = pairs.select(*CHAIN, (F.col("pos") - 1).alias("pos"), F.col("s").alias("entity_id"), "w").groupBy(*at, "entity_id").agg(F.max("w").alias("w"))
-    support = up.unionByName(down).groupBy(*at, "entity_id").agg(F.sum("w").alias("support"))
-    out = c.join(support, [*at, "entity_id"], "left").withColumn("support", F.coalesce("support", F.lit(0)))
-    best = out.groupBy(*at).agg(F.min(F.struct((-F.col("support")).alias("a"), (-F.col("score")).alias("b"), "entity_id")).alias("m"))
-    return best.select(*at, F.col("m.entity_id").alias("entity_id"), (-F.col("m.a")).alias("support"))
+        pairs = pairs.join(hints.select("entity_id", F.col("student_id").alias("s"), F.lit(4).alias("h")).distinct(), ["s", "entity_id"], "left")
+        weight = weight + F.coalesce("h", F.lit(0))
+    links = pairs.select(*at, "s", F.col("entity_id").alias("e"), weight.cast("long").alias("w")).where("w > 0").groupBy(*at).agg(F.collect_list(F.struct("s", "e", "w")).alias("links"))
+    nodes = c.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct(F.col("entity_id").cast("long").alias("e"), "m"))).alias("nodes"))
+    lattice = nodes.join(links, at, "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<s: bigint, e: bigint, w: bigint>>")))
+    chains = lattice.groupBy(*CHAIN).agg(F.sort_array(F.collect_list(F.struct("pos", "nodes", "links"))).alias("l"))  # a chain
+    kind = "array<struct<w: bigint, m: bigint, path: array<bigint>, weights: array<bigint>>>"
+
+    def step(ways: Column, p: Column) -> Column:
+        def onto(x: Column) -> Column:
+            weigh = lambda a: F.coalesce(F.array_max(F.transform(F.filter(p["links"], lambda t: (t["s"] == F.element_at(a["path"], -1)) & (t["e"] == x["e"])), lambda t: t["w"])), F.lit(0).cast("long"))
+            way = lambda a: F.get(F.transform(F.array(weigh(a)), lambda w: F.struct((a["w"] - w).alias("w"), (a["m"] - x["m"]).alias("m"), F.array_append(a["path"], x["e"]).alias("path"), F.array_append(a["weights"], w).alias("weights"))), F.lit(0))
+            return F.array_min(F.transform(ways, way))
+
+        first = F.transform(p["nodes"], lambda x: F.struct(F.lit(0).cast("long").alias("w"), (-x["m"]).alias("m"), F.array(x["e"]).alias("path"), F.array(F.lit(0).cast("long")).alias("weights")))
+        return F.when(F.size(ways) == 0, first).otherwise(F.transform(p["nodes"], onto)).cast(kind)
+
+    best = chains.select(*CHAIN, "l", F.array_min(F.aggregate("l", F.array().cast(kind), step)).alias("b"))
+    rows = best.select(*CHAIN, "b", F.posexplode("l").alias("i", "p"))
+    support = F.get("b.weights", F.col("i")) + F.coalesce(F.get("b.weights", F.col("i") + 1), F.lit(0))
+    return rows.select(*CHAIN, F.col("p.pos").alias("pos"), F.get("b.path", F.col("i")).alias("entity_id"), support.alias("support"))
 
 
 def _keys_of(t: Column) -> Column:

@@ -219,18 +219,27 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("jn08_disambiguate", duck("positions", "edge_pairs", "chain_entities", then=f"""
-    , y as (select entity_id, list_min({_YEARS.format("death")}) as year from chain_entities),
-    c0 as (select chain_id, pos, entity_id, 0.9 as score from positions union all select chain_id, pos, (entity_id + 1) % (select count(*) from supplier), 0.9 from positions),
-    c as (select c0.*, year from c0 left join y using (entity_id)),
-    w as (select c.chain_id, c.pos, c.entity_id, s.entity_id as s, max(case when e.student_id is not null then 2 else 0 end + case when e.student_id is not null and (e.student_id + e.teacher_id) % 4 = 0 then 4 else 0 end + case when abs(s.year - c.year) <= 80 then 1 else 0 end) as w
+    with recursive y as (select entity_id, list_min({_YEARS.format("death")}) as year from chain_entities),
+    c0 as (select chain_id, pos, entity_id, 900000 as m from positions union all select chain_id, pos, (entity_id + 1) % (select count(*) from supplier), 800000 + (chain_id + pos) % 3 * 100000 from positions),
+    c as (select chain_id, pos, entity_id, max(m) as m, any_value(year) as year from c0 left join y using (entity_id) group by 1, 2, 3),
+    w as (select c.chain_id, c.pos, c.entity_id as e, s.entity_id as s, max(case when e.student_id is not null then 2 else 0 end + case when e.student_id is not null and (e.student_id + e.teacher_id) % 4 = 0 then 4 else 0 end + case when abs(s.year - c.year) <= 80 then 1 else 0 end) as w
         from c join c s on s.chain_id = c.chain_id and s.pos = c.pos - 1 left join edge_pairs e on e.student_id = s.entity_id and e.teacher_id = c.entity_id group by 1, 2, 3, 4),
-    u as (select chain_id, pos, entity_id, max(w) as w from w group by 1, 2, 3 union all select chain_id, pos - 1, s, max(w) from w group by 1, 2, 3),
-    g as (select chain_id, pos, entity_id, sum(w) as support from u group by 1, 2, 3),
-    r as (select c.chain_id, c.pos, c.entity_id, coalesce(support, 0) as support, row_number() over (partition by c.chain_id, c.pos order by coalesce(support, 0) desc, c.entity_id) as r from c left join g using (chain_id, pos, entity_id))
-    select chain_id, 0 as branch_no, pos, entity_id, cast(support as bigint) as support from r where r = 1"""))
+    t as (select chain_id, pos, list({{'s': s, 'e': e, 'w': w}}) as links from w group by 1, 2),
+    n as (select chain_id, pos, list({{'e': entity_id, 'm': m}}) as nodes from c group by 1, 2),
+    st as (
+        select chain_id, pos, list_transform(nodes, lambda x: {{'w': cast(0 as bigint), 'm': cast(-x.m as bigint), 'path': [cast(x.e as bigint)], 'weights': [cast(0 as bigint)]}}) as ways from n where pos = 0
+        union all
+        select chain_id, pos, list_transform(nodes, lambda x: list_min(list_transform(ways, lambda a:
+            {{'w': cast(a.w - coalesce(list_max(list_transform(list_filter(links, lambda k: k.s = a.path[len(a.path)] and k.e = x.e), lambda k: k.w)), 0) as bigint), 'm': cast(a.m - x.m as bigint), 'path': list_append(a.path, cast(x.e as bigint)),
+              'weights': list_append(a.weights, cast(coalesce(list_max(list_transform(list_filter(links, lambda k: k.s = a.path[len(a.path)] and k.e = x.e), lambda k: k.w)), 0) as bigint))}})))
+        from (select st.chain_id, n.pos, n.nodes, st.ways, t.links from st join n on n.chain_id = st.chain_id and n.pos = st.pos + 1 join t on t.chain_id = n.chain_id and t.pos = n.pos)),
+    b as (select chain_id, list_min(arg_max(ways, pos)) as b from st group by 1),
+    i as (select chain_id, b, unnest(range(len(b.path))) as pos from b)
+    select chain_id, 0 as branch_no, pos, b.path[pos + 1] as entity_id, b.weights[pos + 1] + coalesce(b.weights[pos + 2], 0) as support from i"""))
 def _(t: Tables) -> DataFrame:
     p, n = t.positions.select("chain_id", "branch_no", "pos", "entity_id"), t.supplier.count()
-    candidates = p.unionByName(p.withColumn("entity_id", (F.col("entity_id") + 1) % n)).withColumn("score", F.lit(0.9))
+    other = p.withColumn("score", 0.8 + (F.col("chain_id") + F.col("pos")) % 3 * 0.1).withColumn("entity_id", (F.col("entity_id") + 1) % n)
+    candidates = p.withColumn("score", F.lit(0.9)).unionByName(other)
     years = t.chain_entities.select("entity_id", F.array_min(T.parse_years(F.col("death"))).alias("year"))
     hints = t.edge_pairs.where("(student_id + teacher_id) % 4 = 0").select(F.col("teacher_id").alias("entity_id"), "student_id")
     return C.disambiguate(candidates, t.edge_pairs, years, hints)

@@ -100,6 +100,8 @@ def duck(*names: str, then: str) -> str:
     head = with_clause(*names).format(**GIVEN_NAMES) if names else ""
     if then.lstrip().startswith("with "):
         then = then.lstrip()[5:]
+        if head and then.startswith("recursive "):
+            head, then = head.replace("with ", "with recursive ", 1), then[10:]
         return f"{head}, {then}" if head else f"with {then}"
     return f"{head} {then}"
 

@@ -110,3 +110,36 @@ def test_fold_in_rounds_is_the_fold(spark):
         want |= {(g, n) for n in stay}
     got = C.folded_names(spark.createDataFrame(rows, "g long, o long, name string"), ["g"], noise=["بن"], affixes=["الكوفي"]).collect()
     assert {(r["g"], r["name"]) for r in got} == want and len(got) == len(want)
+
+
+def test_best_path_is_brute_force(spark):
+    """The chosen candidates against all paths of short chains, with gaps, ties and positions of one candidate."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    candidates = [(c, 0, pos, e, rng.choice([0.4, 0.5, 0.9])) for c in range(40) for pos in range(rng.randint(1, 5)) if rng.random() < 0.9 for e in rng.sample(range(1, 9), rng.randint(1, 4))]
+    edges = {(rng.randint(1, 8), rng.randint(1, 8)) for _ in range(16)}
+    hints = {(rng.randint(1, 8), rng.randint(1, 8)) for _ in range(6)}  # entity, student
+    years = {e: rng.choice([100, 150, 200, 300, None]) for e in range(1, 9)}
+
+    def weight(s, e):
+        near = years[s] is not None and years[e] is not None and abs(years[s] - years[e]) <= 80
+        return 2 * ((s, e) in edges) + 4 * ((e, s) in hints) + near
+
+    want = {}
+    for c in range(40):
+        places = sorted({r[2] for r in candidates if r[0] == c})
+        options = [[(r[3], round(r[4] * 10**6)) for r in candidates if r[0] == c and r[2] == p] for p in places]
+        best = None
+        for way in itertools.product(*options):
+            links = [weight(a[0], b[0]) if q == p + 1 else 0 for a, b, p, q in zip(way, way[1:], places, places[1:], strict=False)]
+            key = (-sum(links), -sum(x[1] for x in way), [x[0] for x in way])
+            if best is None or key < best[0]:
+                best = (key, links)
+        if best:
+            for i, p in enumerate(places):
+                want[c, p] = (best[0][2][i], sum(best[1][max(i - 1, 0) : i + 1]))
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    got = C.disambiguate(frame(candidates, "chain_id long, branch_no int, pos long, entity_id long, score double"), frame(edges, "student_id long, teacher_id long"), frame(years.items(), "entity_id long, year int"), frame(hints, "entity_id long, student_id long"))
+    assert {(r["chain_id"], r["pos"]): (r["entity_id"], r["support"]) for r in got.collect()} == want
