@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 from chainproof.functions.text import cache_key
@@ -48,9 +49,62 @@ def sliding_quota(events: DataFrame, most: int = 20, window_seconds: int = 600,
     return rows.where("key is not null and ts is not null").repartition("key").sortWithinPartitions("key", "us", "id").mapInPandas(run, QUOTA)
 
 
-def stream_quota(events: DataFrame, most: int = 20, window_seconds: int = 600, *, key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
-    """ST-1 on a stream: the accepted times of each key, ``most`` at the most, are its state. Hits of
-    one micro-batch are taken in order of time and id."""
+class _Quota(StatefulProcessor):
+    """Per key: hits that wait for the watermark, and the accepted ones of a window."""
+
+    def __init__(self, most: int, window: int):
+        self.most, self.window = most, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, id long")
+        self.accepted = handle.getListState("accepted", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(us), int(i)) for b in rows for us, i in zip(b["us"], b["id"], strict=True)]
+        yield self._settled(key[0], new, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._settled(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+    def _settled(self, key: int, new: list[tuple[int, int]], until: int) -> pd.DataFrame:
+        """Decides all that are older than the watermark, in order; sets the timer for what is left to decide or forget."""
+        held = lambda state: [tuple(x) for x in state.get()] if state.exists() else []
+        waiting, accepted = sorted([*held(self.waiting), *new]), deque(x[0] for x in held(self.accepted))
+        due = [x for x in waiting if x[0] < until]
+        rest = waiting[len(due) :]
+        allowed = [_decide(accepted, us, self.most, self.window) for us, _ in due]
+        for at in self.handle.listTimers():
+            self.handle.deleteTimer(at)
+        while accepted and accepted[0] <= until - self.window:
+            accepted.popleft()
+        for state, left in ((self.waiting, rest), (self.accepted, [(us,) for us in accepted])):
+            if left:
+                state.put(left)
+            elif state.exists():
+                state.clear()
+        if rest or accepted:
+            self.handle.registerTimer((rest[0][0] if rest else accepted[-1] + self.window) // 1000 + 1)
+        return pd.DataFrame({"key": [key] * len(due), "id": [i for _, i in due], "ts": pd.to_datetime([us for us, _ in due], unit="us"), "allowed": allowed})
+
+
+def stream_quota(events: DataFrame, most: int = 20, window_seconds: int = 600, *, delay: str | None = None, key: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
+    """ST-1 on a stream: the accepted times of each key, ``most`` at the most, are its state.
+
+    Without ``delay``, hits are decided as they come, those of one micro-batch in order of time and id, and a key is
+    never forgotten. With it (an interval, "10 minutes"), hits wait until the watermark has passed them and are then decided in order
+    of time and id over all micro-batches, as on a table; hits that are later than that are dropped, and timers
+    forget keys that have been idle for a window. This needs the state store
+    ``org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``.
+    """
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col(event).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    if delay is not None:
+        known = rows.where("key is not null and ts is not null").withWatermark("ts", delay)
+        return known.groupBy("key").transformWithStateInPandas(_Quota(most, window_seconds * 1_000_000), QUOTA, "append", "EventTime")
+
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     window = window_seconds * 1_000_000
@@ -62,7 +116,6 @@ def stream_quota(events: DataFrame, most: int = 20, window_seconds: int = 600, *
         state.update((list(accepted),))
         yield pd.DataFrame({"key": k[0], "id": rows["id"], "ts": rows["ts"], "allowed": allowed})
 
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col(event).cast("long").alias("id"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     return rows.groupBy("key").applyInPandasWithState(run, QUOTA, "accepted array<long>", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -53,6 +53,36 @@ def test_stream_quota_equals_batch(spark, tmp_path):
     assert got == {(r["id"], r["allowed"]) for r in ST.sliding_quota(events, 3, 600).collect()}
 
 
+def test_stream_quota_in_order_over_batches(spark, tmp_path):
+    """Hits that come in any order are decided as on a table once the watermark has passed them, and idle keys are forgotten."""
+    import random
+
+    rng = random.Random(9)
+    hits = [(i, i % 3, i * 7 % 120) for i in range(90)] + [(100 + i, 9, 5 * i) for i in range(10)]
+    rng.shuffle(hits)
+    parts = [hits[:40], hits[40:75], hits[75:], [(900, 77, 4000)], [(901, 77, 8000)], [(902, 77, 9000)]]
+    frame = lambda rows: spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts"))
+    for i, part in enumerate(parts):
+        frame(part).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(frame(hits[:1]).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "in"))
+        out = ST.stream_quota(stream, 4, 60, delay="10 minutes").writeStream.format("memory").queryName("ordered").outputMode("append")
+        q = out.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+        kept = [x["numRowsTotal"] for p in q.recentProgress for x in p["stateOperators"]]
+        q.stop()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    got = {(r["key"], r["id"], r["allowed"]) for r in spark.sql("select * from ordered").collect()}
+    want = {(r["key"], r["id"], r["allowed"]) for r in ST.sliding_quota(frame(hits + parts[3]), 4, 60).collect()}
+    assert {r for r in got if r[0] != 77} == {r for r in want if r[0] != 77} and len({r for r in want if not r[2]}) > 10
+    assert max(kept) >= 4 and kept[-1] == 1  # only the last key is left
+
+
 def test_corpus_tree(spark, tmp_path):
     (tmp_path / "b1").mkdir()
     (tmp_path / "books.json").write_text(json.dumps({"sunni": {"the_9_books": [{"id": "b1", "name_ar": "ا", "name_en": "A"}, {"id": "b2", "name_ar": "ب", "name_en": "B"}], "forties": [], "other_books": []}}))
