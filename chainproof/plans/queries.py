@@ -90,6 +90,29 @@ def _(t: Tables) -> DataFrame:
     return out.select("id", "full_name", "death", c("namings")[0].alias("naming"), c("teachers")[0].alias("teacher"), c("classical_sources")["m"]["entry_id"].alias("entry_id"))
 
 
+@query("io03_read_corpus", duck(then="""
+    with d as (select *, doc_id // 200 as c from documents where text is not null and source <> 'src1'),
+    n as (select source, c, row_number() over (partition by source order by c) as chapter_no from (select distinct source, c from d))
+    select source as book_id, 'كتاب ' || source as book_name_ar, 'Book ' || source as book_name_en, cast(chapter_no as integer) as chapter_no, 'باب ' || c as chapter_name_ar, cast(doc_id % 200 as integer) as number,
+        text as arabic, lang as english_narrator, case when doc_id % 3 = 0 then 'n ' || n_chars end as english_text, case doc_id % 4 when 0 then 'Sahih' when 1 then 'Hasan' end as grade from d join n using (source, c)"""))
+def _(t: Tables) -> DataFrame:
+    """Chapters of 200 documents at most, written as a tree of JSON files and read again; one book has no folder."""
+    c, path = F.col, new_path(t.spark, "corpus")
+    d = t.documents.where("text is not null").select("*", F.floor(c("doc_id") / 200).alias("c"), F.concat(F.lit("c"), F.floor(c("doc_id") / 200), F.lit(".json")).alias("file"))
+    item = F.struct(
+        c("doc_id").alias("id"), (c("doc_id") % 200).cast("int").alias("idInBook"), c("text").alias("arabic"), F.struct(c("lang").alias("narrator"), F.when(c("doc_id") % 3 == 0, F.concat(F.lit("n "), c("n_chars"))).alias("text")).alias("english"),
+        F.when(c("doc_id") % 4 == 0, "Sahih").when(c("doc_id") % 4 == 1, "Hasan").alias("grade"))
+    there = d.where("source <> 'src1'")
+    chapters = there.groupBy(c("source").alias("book"), "file").agg(F.to_json(F.collect_list(item)).alias("value"))
+    entry = F.struct("c", "file", F.concat(F.lit("باب "), c("c")).alias("name_ar"))
+    index = there.select("source", "c", "file").distinct().groupBy(c("source").alias("book")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value")).select("book", F.lit("index.json").alias("file"), "value")
+    chapters.unionByName(index).write.partitionBy("book", "file").text(f"{path}/tree")
+    book = F.struct(c("source").alias("id"), F.concat(F.lit("كتاب "), c("source")).alias("name_ar"), F.concat(F.lit("Book "), c("source")).alias("name_en"))
+    books = d.select("source").distinct().agg(F.to_json(F.struct(F.struct(F.collect_list(book).alias("the_9_books")).alias("sunni"))).alias("value"))
+    books.write.text(f"{path}/tree/books.json")
+    return IO.read_corpus(t.spark, f"{path}/tree", "book=*/file=*/*.txt", r"/book=([^/]+)/", r"/file=([^/]+)/")
+
+
 @query("io04_csv_overlay", duck(then=f"""
     with c as (select c_custkey as k, 'أَحمد "' || c_mktsegment || '", ' || c_custkey % 300 as name, case c_custkey % 7 when 0 then '-' when 1 then null when 2 then ' ' else cast(c_custkey as varchar) end as death from customer),
     r as (select *, row_number() over (partition by {NORMAL("name")} order by k) as r from c where trim(death) not in ('', '-'))

@@ -30,19 +30,21 @@ def explode_profile(profiles: DataFrame) -> dict[str, DataFrame]:
     return {"narrator": narrator, "name_variant": variant, "source_grade": grade, "transmission": up.unionByName(down).distinct()}
 
 
-def read_corpus(spark: SparkSession, root: str) -> DataFrame:
+def read_corpus(spark: SparkSession, root: str, files: str = "*/*.json", book_of: str = r"([^/]+)/[^/]+$", file_of: str = r"([^/]+)$") -> DataFrame:
     """IO-3: texts of a tree books.json, <book>/index.json, <book>/<chapter file>: book_id,
     book_name_ar, book_name_en, chapter_no (place in the index, from 1), chapter_name_ar, number,
-    arabic, english_narrator, english_text, grade. Books without a folder are skipped."""
+    arabic, english_narrator, english_text, grade. Books without a folder are skipped. ``files`` finds the files
+    under ``root``, the other two patterns the book and the file's name in a path, for trees of another layout."""
     book = "array<struct<id: string, name_ar: string, name_en: string>>"
     groups = spark.read.text(f"{root}/books.json", wholetext=True).select(F.from_json("value", f"sunni struct<the_9_books: {book}, forties: {book}, other_books: {book}>").alias("j"))
     none = F.from_json(F.lit("[]"), book)
     books = groups.select(F.explode(F.concat(*[F.coalesce(f"j.sunni.{g}", none) for g in ("the_9_books", "forties", "other_books")])).alias("b")).select(F.col("b.id").alias("book_id"), F.col("b.name_ar").alias("book_name_ar"), F.col("b.name_en").alias("book_name_en"))
-    files = spark.read.text(f"{root}/*/*.json", wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("book_id"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"))
-    index = files.where("file = 'index.json'").select("book_id", F.posexplode(F.from_json("value", "array<struct<file: string, name_ar: string>>")).alias("i", "c"))
+    path = F.url_decode("_metadata.file_path")
+    found = spark.read.text(f"{root}/{files}", wholetext=True).select("value", F.regexp_extract(path, book_of, 1).alias("book_id"), F.regexp_extract(path, file_of, 1).alias("file"))
+    index = found.where("file = 'index.json'").select("book_id", F.posexplode(F.from_json("value", "array<struct<file: string, name_ar: string>>")).alias("i", "c"))
     index = index.select("book_id", (F.col("i") + 1).alias("chapter_no"), F.col("c.file").alias("file"), F.col("c.name_ar").alias("chapter_name_ar"))
     item = "array<struct<id: bigint, idInBook: int, arabic: string, english: struct<narrator: string, text: string>, grade: string>>"
-    texts = files.where("file <> 'index.json'").select("book_id", "file", F.explode(F.from_json("value", item)).alias("t"))
+    texts = found.where("file <> 'index.json'").select("book_id", "file", F.explode(F.from_json("value", item)).alias("t"))
     rows = texts.join(index, ["book_id", "file"]).join(books, "book_id")
     return rows.select("book_id", "book_name_ar", "book_name_en", "chapter_no", "chapter_name_ar", F.col("t.idInBook").alias("number"), F.col("t.arabic").alias("arabic"), F.col("t.english.narrator").alias("english_narrator"), F.col("t.english.text").alias("english_text"), F.col("t.grade").alias("grade"))
 
