@@ -152,6 +152,38 @@ def test_branches_of_worked_examples(spark):
     assert said[1, 0] == said[1, 1] == "أن النبي ﷺ قال كذا" and said[7, 0] == "متن" and said[12, 0] == "لا شيء"
 
 
+def test_scans_over_books_of_many_blocks(spark):
+    """Entries that reach over blocks of pages, in blocks of any size, against one pass over each book."""
+    import random
+
+    rng = random.Random(11)
+    kinds = ["7 - زيد", "قال كذا وكذا", "حدثنا فلان", "( ٣ ) حاشية", "كلام آخر", "نص طويل هنا"]
+    rows = [(b, p, i, rng.choice(kinds[1:] if rng.random() < 0.9 else kinds[:1])) for b in (1, 2, None) for p in range(60) for i in range(rng.randint(0, 3))]
+    paras = spark.createDataFrame(rows, "book_id long, page_id long, para_no int, text string")
+    header = r"^([0-9]+)\s*-\s*(.+)$"
+    carried, sections = set(), set()
+    for b in (1, 2, None):
+        start, n, closed, parts = None, 0, True, []
+        for _, p, i, text in sorted((r for r in rows if r[0] == b), key=lambda r: r[1:3]):
+            opens = text == kinds[0]
+            if opens and i == 0:
+                start = p
+            elif start is not None and not (opens and i == 0):
+                carried.add((b, p, i, start))
+            if opens:
+                sections.add((b, n, " ".join(parts)))
+                n, closed, parts = n + 1, False, []
+            else:
+                closed = closed or text in kinds[2:4]
+                parts += [] if closed else [text]
+        sections.add((b, n, " ".join(parts)))
+    sections = {s for s in sections if len(s[2]) >= 4 and s[1] > 0}
+    for pages in (1, 7, 256):
+        got = P.carry_header(paras, header, pages=pages).collect()
+        assert {(r["book_id"], r["page_id"], r["para_no"], r["entry_start"]) for r in got} == carried and len(got) == len(carried)
+        assert {(r["book_id"], r["entry_no"], r["text"]) for r in P.entry_sections(paras, header, pages=pages).collect()} == sections
+
+
 def test_attributed_verdicts(spark):
     paras = spark.createDataFrame([(1, 0, "• قال البرقاني: قال الدارقطني: ثقة (١٢). وقال الدارقطني: ضعيف."), (2, 0, "لا شيء")], "page long, para_no int, text string")
     rows = P.extract_attributed(paras).orderBy("verdict_no").collect()
