@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from chainproof.functions import lexicons as X
 from chainproof.functions import rules
@@ -383,8 +384,6 @@ def _(t: Tables) -> DataFrame:
     b as (select o_custkey as chain_id, cast(row_number() over (partition by o_custkey order by v.chain_id) - 1 as integer) as branch_no, verdict, case verdict when 'sahih_candidate' then 0 when 'hasan_candidate' then 1 when 'daif' then 2 when 'needs_review' then 3 else 4 end as r from verdicts v join orders on o_orderkey = v.chain_id)
     select chain_id, arg_min(branch_no, r * 1000000 + branch_no) as primary_branch, arg_min(verdict, r) as verdict, count(*) as branches, case when count(*) >= 2 and min(r) <= 1 and count(*) filter (r <= 1) > 1 then count(*) filter (r <= 1) - 1 end as confirmed_by from b group by 1"""))
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
     v = chain_verdicts(t).select(F.col("chain_id").alias("o_orderkey"), "verdict").join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey")
     branches = v.select(F.col("o_custkey").alias("chain_id"), (F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("branch_no"), "verdict")
     return C.rank_branches(branches)
@@ -672,9 +671,12 @@ def _(t: Tables) -> DataFrame:
     x as (select v.chain_id, v.verdict, a.attribution, a.entity_id as terminal_id, case when coalesce(breaks, 0) > 0 then case when f = 0 then 'muallaq' when breaks > 1 and l - f + 1 = breaks then 'mudal' else 'munqati' end
         when a.attribution in ('marfu_sarih', 'marfu_hukman', 'qudsi') and contains(coalesce(tabaqat, ''), '{X.SUCCESSOR}') and not {_PROTECTED("ascription", "''", "grade_text", "bucket")} then 'mursal' else 'none' end as break_type,
         case when b.links is null then 'none' when heard = b.links then 'all_heard' when heard > 0 then 'some_heard' when attested = b.links then 'all_attested' when attested > 0 then 'some_attested' else 'none' end as strength
-        from verdicts v join attr a using (chain_id) left join b using (chain_id))
-    select chain_id, verdict, attribution, terminal_id, break_type, strength, case when verdict = 'sahih_candidate' then 'sahih_li_dhatih' when verdict = 'hasan_candidate' then 'hasan_li_dhatih' when verdict in ('daif', 'broken') then verdict else 'needs_review' end as rank,
-        case when verdict like '%candidate' then 'maqbul' when verdict in ('daif', 'broken') then 'mardud' else 'indeterminate' end as acceptance from x"""))
+        from verdicts v join attr a using (chain_id) left join b using (chain_id)),
+    levels as (select chain_id // 8 as g, level, count(distinct entity_id) as n from (select chain_id, max(pos) over (partition by chain_id) - pos as level, entity_id from positions) group by 1, 2),
+    low as (select g, min(n) as min_count from levels group by 1), found as (select chain_id // 8 as g, count(*) as matches from verdicts group by 1),
+    k as (select x.*, least(min_count, matches) as ways from x join low on low.g = x.chain_id // 8 join found on found.g = x.chain_id // 8),
+    r as (select *, case when verdict = 'sahih_candidate' then 'sahih_li_dhatih' when verdict = 'hasan_candidate' then case when ways >= 2 then 'sahih_li_ghayrih' else 'hasan_li_dhatih' end when verdict = 'daif' then case when ways >= 3 then 'hasan_li_ghayrih' else 'daif' end when verdict = 'broken' then 'broken' else 'needs_review' end as rank from k)
+    select chain_id, verdict, attribution, terminal_id, break_type, strength, rank, case when rank like '%li_%' then 'maqbul' when rank in ('daif', 'broken') then 'mardud' else 'indeterminate' end as acceptance from r"""))
 def audit(t: Tables) -> DataFrame:
     """The flagship: verdict, attribution, break, strength, rank and acceptance of every chain."""
     c = F.col
@@ -683,5 +685,10 @@ def audit(t: Tables) -> DataFrame:
     raised = c("attribution").isin("marfu_sarih", "marfu_hukman", "qudsi")
     broke = F.coalesce("break_type", F.lit("none"))
     kind = F.when((broke == "none") & rules.is_mursal(raised, c("tabaqat"), c("grade_text"), c("bucket")), "mursal").otherwise(broke)
-    rank = rules.refined_rank(c("verdict"), F.lit(0))
+    # the chains of eight orders tell one passage; as many ways as the level with the fewest entities has
+    share = t.positions.select(F.floor(c("chain_id") / 8).alias("g"), (F.max("pos").over(W.partitionBy("chain_id")) - c("pos")).alias("level"), "entity_id", "chain_id")
+    low = share.groupBy("g", "level").agg(F.count_distinct("entity_id").alias("n")).groupBy("g").agg(F.min("n").alias("min_count"))
+    low = low.join(share.groupBy("g").agg(F.count_distinct("chain_id").alias("matches")), "g")
+    out = out.withColumn("g", F.floor(c("chain_id") / 8)).join(low, "g")
+    rank = rules.refined_rank(c("verdict"), rules.corroboration(c("min_count"), c("matches")))
     return out.select("chain_id", "verdict", "attribution", "terminal_id", kind.alias("break_type"), F.coalesce("strength", F.lit("none")).alias("strength"), rank.alias("rank"), rules.acceptance(rank).alias("acceptance"))
