@@ -39,6 +39,8 @@ PERMUTATIONS, BANDS = 64, 32
 EXACT = 16
 #: Classes of one shingle on either side of a block of comparisons, about.
 BLOCK = 1024
+#: Shared shingles before one that are looked at to tell whether a pair has met before.
+EARLIER = 32
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
 MEMORY = 50_000
 
@@ -181,7 +183,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _further_pairs(early: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that ``early`` (key, id, n, i, component) leaves possible: of
-    each key, those outside the largest component with all others."""
+    each key, those outside the largest component with all others. A pair is made at the first shingle that it shares: not where
+    one of the ``EARLIER`` before is shared too (further back, it may be made again)."""
+    early = early.withColumn("earlier", F.collect_list("key").over(W.partitionBy("id").orderBy("i").rowsBetween(-EARLIER, -1)))
     sizes = early.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
         F.max(F.struct("c", "component")).alias("l"), F.sum("c").alias("m"))
     grid = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -192,12 +196,13 @@ def _further_pairs(early: DataFrame, percent: int) -> DataFrame:
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = rows.where("component <> largest").withColumn("x", every("across")).withColumn("y", deal("down")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    one = one.select("key", "band", "x", "y", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("i").alias("o_i"), F.col("component").alias("o_component"))
-    two = rows.where("down > 0").withColumn("y", every("down")).withColumn("x", deal("across")).select("key", "band", "x", "y", "id", "n", "i", "component", "largest")
+    one = one.select("key", "band", "x", "y", F.col("id").alias("o"), F.col("n").alias("o_n"), F.col("i").alias("o_i"), F.col("component").alias("o_component"), F.col("earlier").alias("o_earlier"))
+    two = rows.where("down > 0").withColumn("y", every("down")).withColumn("x", deal("across")).select("key", "band", "x", "y", "id", "n", "i", "component", "largest", "earlier")
     most = F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i"))  # from here on in both orders
     once = (F.col("component") == F.col("largest")) | (F.col("o") < F.col("id"))  # of two outside the largest, the smaller first
     able = 100 * most >= percent * (F.col("n") + F.col("o_n") - most)
-    met = one.join(two, ["key", "band", "x", "y"]).where((F.col("component") != F.col("o_component")) & once & able)
+    new = ~F.arrays_overlap("earlier", "o_earlier")
+    met = one.join(two, ["key", "band", "x", "y"]).where((F.col("component") != F.col("o_component")) & once & able & new)
     return met.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
 
 
