@@ -23,7 +23,11 @@ def squeezed(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """SC-1: composes (NFC), deletes marks, folds letter forms, squeezes blanks. Idempotent."""
     # vowel signs go first: they neither take part in a composition nor bar one, and are in most texts with marks
-    c = F.get(F.transform(F.array(F.regexp_replace(c, X.VOWEL_SIGNS, "")), nfc), F.lit(0))  # worked out once
+    return folded(F.get(F.transform(F.array(F.regexp_replace(c, X.VOWEL_SIGNS, "")), nfc), F.lit(0)))  # worked out once
+
+
+def folded(c: Column) -> Column:
+    """SC-1 of text that is composed already."""
     return squeezed(F.translate(F.regexp_replace(c, X.MARKS, ""), X.FOLD_FROM, X.FOLD_TO))
 
 
