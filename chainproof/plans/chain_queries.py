@@ -14,8 +14,10 @@ from chainproof.operators import chains as C
 from chainproof.operators import evidence as E
 from chainproof.operators import parse as P
 from chainproof.operators import passages as A
-from chainproof.plans.queries import _GRADED, _PROMINENCE, _PROTECTED, _paragraphs, GRAMS, NORMAL, TIER, WORDS, graded, harshest, listed, query
+from chainproof.plans.queries import _GRADED, _PROMINENCE, _PROTECTED, _paragraphs, GRAMS, NORMAL, SQL, TIER, WORDS, graded, harshest, listed, query
 from chainproof.plans.standins import Tables, duck
+from chainproof.sources.tables import BucketedTable
+from chainproof.sources.work import new_path
 from chainproof.streaming import state as ST
 
 # Joins of evidence
@@ -637,13 +639,31 @@ def _(t: Tables) -> DataFrame:
     return out.select("input_hash", "result")
 
 
+@query("st02_stream", SQL["st02_incremental"])
+def _(t: Tables) -> DataFrame:
+    """The same cache as a table in buckets, that a stream of several micro-batches fills."""
+    spark = t.spark
+    docs = t.documents.select("doc_id", "text").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    table = BucketedTable.create(spark, new_path(spark, "cache"), "input_hash string, result long, created_at timestamp", ["input_hash"], buckets=16)
+    ST.cached(docs.where("doc_id % 3 = 0"), table, "v2", lambda df: df.withColumn("result", F.lit(-1)))
+    source = new_path(spark, "stream")
+    docs.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    compute = lambda df: df.withColumn("result", F.length(T.normalize(F.coalesce("text", F.lit("")))))
+    run = ST.stream_incremental(stream, table, "v2", compute, writer="documents").option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return table.read().select("input_hash", "result")
+
+
 @query("st03_parse_cache", duck(then="""
-    select doc_id as text_id, case when doc_id % 4 = 0 then 0 else least(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w = 'the' or w = 'de')), 5) end as n from documents"""))
+    select doc_id as text_id, case when doc_id % 4 = 0 then 0 else len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w = 'the' or w = 'de')) end as n from documents"""))
 def _(t: Tables) -> DataFrame:
     corpus = t.corpus.select("text_id", "text")
-    cache = corpus.where("text_id % 4 = 0").select("text_id", F.array().cast("array<string>").alias("names"), F.current_timestamp().alias("segmented_at"))
-    parse = lambda df: df.select("text_id", F.slice(F.filter(F.split("text", r"\s+"), lambda w: w.isin("the", "de")), 1, 5).alias("names")).where("size(names) > 0")
-    return ST.chain_parse_cache(corpus, cache, parse).select("text_id", F.size("names").cast("long").alias("n"))
+    table = BucketedTable.create(t.spark, new_path(t.spark, "parses"), "text_id long, names array<string>, segmented_at timestamp", ["text_id"], buckets=16)
+    ST.parsed_into(corpus.where("text_id % 4 = 0"), table, lambda df: df.where("false").withColumn("names", F.array().cast("array<string>")))
+    parse = lambda df: df.select("text_id", F.filter(F.split("text", r"\s+"), lambda w: w.isin("the", "de")).alias("names")).where("size(names) > 0")
+    ST.parsed_into(corpus, table, parse)
+    return table.read().select("text_id", F.size("names").cast("long").alias("n"))
 
 
 @query("st04_monthly_usage", duck(then="""

@@ -22,6 +22,7 @@ from chainproof.operators import parse as P
 from chainproof.operators import passages as A
 from chainproof.plans.standins import Tables, duck
 from chainproof.sources import io as IO
+from chainproof.sources.tables import BucketedTable
 from chainproof.sources.work import new_path
 from chainproof.streaming import state as ST
 
@@ -162,6 +163,31 @@ def _(t: Tables) -> DataFrame:
     return IO.upsert(o.where(cut).drop("o_orderdate"), o.where(~cut), ["o_custkey", "o_orderpriority"], [F.desc("o_orderkey")])
 
 
+_BATCHES = """
+    with o as (select o_custkey, o_orderpriority, o_orderkey, case when o_orderdate < '1994-01-01' then 0 when o_orderdate < '1996-01-01' then 1 else 2 end as batch from orders)
+    select o_custkey, o_orderpriority, o_orderkey, batch from (select *, row_number() over (partition by o_custkey, o_orderpriority order by {0}) as r from o) x where r = 1"""
+
+
+def _in_batches(t: Tables, change: str, order: list) -> DataFrame:
+    """Orders of three spans taken by a table in buckets, the second span twice."""
+    since = lambda day: (F.col("o_orderdate") >= F.lit(day).cast("timestamp_ntz")).cast("int")
+    o = t.orders.select("o_custkey", "o_orderpriority", "o_orderkey", (since("1994-01-01") + since("1996-01-01")).alias("batch"))
+    table = BucketedTable.create(o.sparkSession, new_path(o.sparkSession, change), o.schema, ["o_custkey", "o_orderpriority"], buckets=16)
+    for n in (0, 1, 1, 2):
+        getattr(table, change)(o.where(F.col("batch") == n), order, writer="orders", batch=n)
+    return table.read()
+
+
+@query("io07_bucketed_insert", duck(then=_BATCHES.format("batch, o_orderkey")))
+def _(t: Tables) -> DataFrame:
+    return _in_batches(t, "insert", ["o_orderkey"])
+
+
+@query("io08_bucketed_upsert", duck(then=_BATCHES.format("batch desc, o_orderkey desc")))
+def _(t: Tables) -> DataFrame:
+    return _in_batches(t, "upsert", [F.desc("o_orderkey")])
+
+
 @query("io09_replace_slice", duck(then="""
     select o_orderpriority, o_orderkey, o_totalprice from orders where o_orderpriority <> '2-HIGH'
     union all select o_orderpriority, o_orderkey, 0 from orders where o_orderpriority = '2-HIGH' and o_orderstatus = 'F'"""))

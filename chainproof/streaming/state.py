@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from chainproof.functions.text import cache_key
 from chainproof.sources.io import insert_ignore, upsert
+from chainproof.sources.tables import BucketedTable
 
 QUOTA = "key long, id long, ts timestamp, allowed boolean"
 
@@ -128,16 +129,21 @@ def audit_incremental(new: DataFrame, cache: DataFrame, version: str, compute: C
     return done, upsert(cache, done, ["input_hash"], [F.desc(at)])
 
 
-def stream_incremental(stream: DataFrame, path: str, version: str, compute: Callable[[DataFrame], DataFrame], **options):
-    """ST-2 on a stream: a writer that appends what each micro-batch adds to the Parquet cache at
-    ``path`` (which has to exist)."""
+def cached(new: DataFrame, table: BucketedTable, version: str, compute: Callable[[DataFrame], DataFrame], *, text: str = "text", at: str = "created_at", writer: str | None = None, batch: int = 0) -> bool:
+    """ST-2 over a table (input_hash, result, ``at``) in buckets: ``compute`` runs for inputs that the buckets of
+    the new keys lack; nothing else is read or written. A batch that was taken before is not computed again."""
+    keyed = new.withColumn("input_hash", cache_key(version, F.col(text)))
+    return table.insert(keyed, [at], fill=compute, writer=writer, batch=batch)
+
 
-    def batch(df: DataFrame, _: int) -> None:
-        cache = df.sparkSession.read.parquet(path)
-        done, _ = audit_incremental(df, cache, version, compute, **options)
-        done.write.mode("append").parquet(path)
+def stream_incremental(stream: DataFrame, table: BucketedTable, version: str, compute: Callable[[DataFrame], DataFrame], *, writer: str, text: str = "text", at: str = "created_at"):
+    """ST-2 on a stream: a writer that adds what each micro-batch lacks to ``table``. ``writer`` names the
+    query, the same at every start from its checkpoint: a micro-batch that is sent again changes nothing."""
 
-    return stream.writeStream.foreachBatch(batch)
+    def take(df: DataFrame, n: int) -> None:
+        cached(df, table, version, compute, text=text, at=at, writer=writer, batch=n)
+
+    return stream.writeStream.foreachBatch(take)
 
 
 def chain_parse_cache(corpus: DataFrame, cache: DataFrame, parse: Callable[[DataFrame], DataFrame], *, key: str = "text_id", at: str = "segmented_at") -> DataFrame:
@@ -150,6 +156,16 @@ def chain_parse_cache(corpus: DataFrame, cache: DataFrame, parse: Callable[[Data
     return insert_ignore(upsert(cache, good, [key], [F.desc(at)]), failed, [key], [at])
 
 
+def parsed_into(corpus: DataFrame, table: BucketedTable, parse: Callable[[DataFrame], DataFrame], *, key: str = "text_id", at: str = "segmented_at", writer: str | None = None, batch: int = 0) -> bool:
+    """ST-3 over a table (``key``, names, ``at``) in buckets: texts that it lacks are parsed; failures are kept as empty arrays."""
+
+    def fill(fresh: DataFrame) -> DataFrame:
+        rows = fresh.select(key).join(parse(fresh).select(key, "names"), key, "left")
+        return rows.select(key, F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.current_timestamp().alias(at))
+
+    return table.insert(corpus, [key], fill=fill, writer=writer, batch=batch)
+
+
 def monthly_usage(calls: DataFrame, cap: int = 5000, *, ts: str = "ts", event: str = "event_id") -> DataFrame:
     """ST-4: (month, calls, within_cap, capped_at): calls of each month, and the time of the call
     that reaches the cap. Calls are first ranked within days, so no month is one task."""
