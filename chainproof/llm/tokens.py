@@ -11,9 +11,8 @@ import numpy as np
 
 #: Id appended to each document.
 END_ID = 1
-#: Pieces of text, and words without case and punctuation, kept with their ids in a task; beyond these
-#: the memory starts anew.
-PIECES, WORDS = 300_000, 200_000
+#: Pieces of text kept with their ids in a task; beyond these the memory starts anew.
+PIECES = 300_000
 
 #: A word of letters that are alike in every version of Unicode, and punctuation that ends it.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -46,19 +45,18 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     def _learn(self, new: set[str]) -> None:
-        """Adds pieces, and the words in them that are not known yet."""
-        if len(self.words) > WORDS:
-            self.words = {"": b""}
-        words = self.words
-        parts = {}
+        """Adds pieces, and their words without case and punctuation, which are pieces too."""
+        words = self.pieces
+        parts, unknown = {}, set()
         for p in new:
             m = _plain.fullmatch(p)
-            parts[p] = (m[1].lower(), m[2]) if m else (p, "")
-        unknown = {w for pair in parts.values() for w in pair if w not in words}
+            pair = (m[1].lower(), m[2]) if m else (p, "")
+            unknown.update(w for w in pair if w not in words)
+            if pair != (p, ""):
+                parts[p] = pair
         letters = [w for w in unknown if _plain.fullmatch(w)]
         letters = [w for w in letters if w[-1] not in ".,;:!?"]
         other = list(unknown.difference(letters))
@@ -78,14 +76,14 @@ class Encoder:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 words[w] = np.array(e.ids, dtype="<u4").tobytes()
         for p, (w, tail) in parts.items():
-            self.pieces[p] = words[w] + words[tail] if tail else words[w]
+            words[p] = words[w] + words[tail] if tail else words[w]
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text, with the end id; null counts as empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         new = set(chain.from_iterable(split)).difference(self.pieces)
         if len(self.pieces) + len(new) > PIECES:
-            self.pieces = {}
+            self.pieces = {"": b""}
             new = set(chain.from_iterable(split))
         self._learn(new)
         end = np.array([END_ID], dtype="<u4").tobytes()
