@@ -62,7 +62,7 @@ class Encoder:
         other = list(unknown.difference(letters))
         for at in range(0, len(letters), 2_000):
             part = letters[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):  # not of the kind above
                 other += part
