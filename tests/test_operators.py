@@ -196,3 +196,17 @@ def test_plans_stay_on_the_jvm(spark):
     for name in ("cl18_audit", "jn01_match_topk", "ag06_cl09_bottleneck"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_usage_time_is_spelt_as_in_sql(spark, tmp_path):
+    """A time whose microseconds end with zeros."""
+    import duckdb
+    from chainproof.plans import QUERIES, SQL
+
+    for end in ("120000", "000000", "123456", "500000"):
+        folder = tmp_path / end
+        folder.mkdir()
+        duckdb.sql(f"copy (select i as event_id, timestamp '2024-01-01 10:20:00.{end}' as ts from range(5000) r(i)) to '{folder}/events.parquet' (format parquet)")
+        own = duckdb.connect()
+        own.sql(f"create view events as select * from '{folder}/events.parquet'")
+        assert [tuple(r) for r in QUERIES["st04_monthly_usage"](spark, str(folder)).collect()] == own.sql(SQL["st04_monthly_usage"]).fetchall()
