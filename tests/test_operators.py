@@ -198,6 +198,30 @@ def test_plans_stay_on_the_jvm(spark):
         assert "Python" not in plan and "CartesianProduct" not in plan
 
 
+def test_nearest_is_brute_force(spark):
+    """The best entities of each distinct name, where entities have several names, names several entities, and scores and prominence tie."""
+    names = ["red ring brand", "red rng brand", "blue bolt", "blue bolt small", "bolt", "ring red brand", "blue bolts"]
+    variants = [(e, names[(e * i + i) % len(names)]) for e in range(40) for i in range(1, 4)]
+    prominence = [(e, e % 3) for e in range(0, 40, 2)]
+    mentions = spark.createDataFrame(list(enumerate(names * 3)), "mention_id long, name string")
+    right = spark.createDataFrame(variants, "entity_id long, variant string")
+    weights = spark.createDataFrame(prominence, "entity_id long, prominence long")
+    for k, tau in ((1, 0.3), (4, 0.3), (12, 0.5)):
+        best = {}
+        for a in names:
+            for e, b in variants:
+                common, either = len(grams(a) & grams(b)), len(grams(a) | grams(b))
+                if 1000 * common >= round(1000 * tau) * either:
+                    best[a, e] = max(best.get((a, e), 0), common / either)
+        want = set()
+        for i, a in enumerate(names * 3):
+            rank = sorted((-s, -dict(prominence).get(e, 0), e) for (n, e), s in best.items() if n == a)[:k]
+            want |= {(i, e, -p, r + 1) for r, (_, p, e) in enumerate(rank)}
+        assert {(r["mention_id"], r["entity_id"], r["prominence"], r["rank"]) for r in M.match_topk(mentions, right, weights, k, tau).collect()} == want
+        near = M.nearest(mentions, right, tau, k, weights, entity="entity_id", variant="variant")
+        assert near.count() <= k * len(names)  # a row for no mention
+
+
 def test_usage_time_is_spelt_as_in_sql(spark, tmp_path):
     """A time whose microseconds end with zeros."""
     import duckdb
