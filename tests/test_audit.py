@@ -4,6 +4,7 @@ names against brute force."""
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chainproof.functions import lexicons as X
 from chainproof.operators import chains as C
@@ -143,3 +144,16 @@ def test_best_path_is_brute_force(spark):
     frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
     got = C.disambiguate(frame(candidates, "chain_id long, branch_no int, pos long, entity_id long, score double"), frame(edges, "student_id long, teacher_id long"), frame(years.items(), "entity_id long, year int"), frame(hints, "entity_id long, student_id long"))
     assert {(r["chain_id"], r["pos"]): (r["entity_id"], r["support"]) for r in got.collect()} == want
+
+
+def test_only_like_names_of_a_level_are_folded(spark):
+    """Of a level of many names those that may be like another one are rows of their own, the others one count; repeated names count once."""
+    names = [f"w{i} v{i}" for i in range(200)] + ["w7 v7 u", "w9 v9 u", "w9 v9 u", "w3 v3"]
+    chains = spark.createDataFrame([(1, 5, i, [n]) for i, n in enumerate(names)] + [(2, 5, 900, ["w7 v7"])], "passage_id long, score long, chain_id long, names array<string>")
+    got = {r["passage_id"]: r for r in C.level_counts(chains).collect()}
+    assert got[1]["n"] == 200 and got[1]["samples"] == [f"w{i} v{i}" for i in range(5)] and got[2]["n"] == 1 and got[2]["samples"] == ["w7 v7"]
+    assert {r["passage_id"]: r["n"] for r in C.level_counts(chains, samples=0).collect()} == {1: 200, 2: 1}
+    rows = chains.select("passage_id", F.explode("names").alias("name"), F.struct("score", "chain_id").alias("o"))
+    kept = C._meeting(rows, ["passage_id"], "name", [], [], 0).collect()
+    assert sorted(r["m"]["name"] for r in kept if r["meets"]) == ["w7 v7", "w7 v7 u", "w9 v9", "w9 v9 u"]
+    assert sorted((r["passage_id"], r["n"]) for r in kept if not r["meets"]) == [(1, 198), (2, 1)]
