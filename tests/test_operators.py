@@ -234,3 +234,19 @@ def test_usage_time_is_spelt_as_in_sql(spark, tmp_path):
         own = duckdb.connect()
         own.sql(f"create view events as select * from '{folder}/events.parquet'")
         assert [tuple(r) for r in QUERIES["st04_monthly_usage"](spark, str(folder)).collect()] == own.sql(SQL["st04_monthly_usage"]).fetchall()
+
+
+def test_equal_pairs_of_names_are_compared_once(spark, tmp_path):
+    """Repeated names: as in SQL, and one comparison for each different pair."""
+    import glob
+
+    import duckdb
+    from chainproof.plans import QUERIES, SQL
+    from chainproof.sources.work import work_dir
+
+    duckdb.sql(f"copy (select i as p_partkey, case i % 2 when 0 then 'red ring' else 'blue bolt' end as p_name, 'Brand#1' as p_brand, 'LARGE' as p_type from range(40) r(i)) to '{tmp_path}/part.parquet' (format parquet)")
+    own = duckdb.connect()
+    own.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    assert sorted(tuple(r) for r in QUERIES["sc21_word_similarity"](spark, str(tmp_path)).collect()) == sorted(own.sql(SQL["sc21_word_similarity"]).fetchall())
+    compared = glob.glob(work_dir(spark).removeprefix("file://") + "/chainproof/*/compared")
+    assert [spark.read.parquet(p).count() for p in compared] == [2]
