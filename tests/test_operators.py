@@ -1,9 +1,11 @@
 import json
+import re
+import unicodedata
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from chainproof.functions import similarity
+from chainproof.functions import nfc, similarity
 from chainproof.functions.text import words
 from chainproof.operators import matching as M
 from chainproof.operators import parse as P
@@ -250,3 +252,18 @@ def test_equal_pairs_of_names_are_compared_once(spark, tmp_path):
     assert sorted(tuple(r) for r in QUERIES["sc21_word_similarity"](spark, str(tmp_path)).collect()) == sorted(own.sql(SQL["sc21_word_similarity"]).fetchall())
     compared = glob.glob(work_dir(spark).removeprefix("file://") + "/chainproof/*/compared")
     assert [spark.read.parquet(p).count() for p in compared] == [2]
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([(1, "حدثنا زيد، عن عمرو، عن بكر: متن")], "chain_id long, text string").write.parquet(path)
+    positions, payloads = P.segment_chain(spark.read.parquet(path))
+    plan = positions._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # else a text would be cut again for each of its names
+    assert [tuple(r) for r in positions.orderBy("pos").collect()] == [(1, 0, 0, "زيد", "an"), (1, 0, 1, "عمرو", "an"), (1, 0, 2, "بكر", None)]
+    assert payloads.first()["payload"] == "متن"
+
+
+def test_safe_characters_are_composed():
+    points = [c for c in range(0x10000) if re.match(f"[{nfc.SAFE}]", chr(c))]
+    assert len(points) > 1000 and not [c for c in points if unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c) or re.match(f"[{nfc.rough()}]", chr(c))]
