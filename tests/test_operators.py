@@ -3,6 +3,7 @@ import re
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chainproof.functions import nfc, similarity
@@ -267,3 +268,23 @@ def test_texts_are_cut_once(spark, tmp_path):
 def test_safe_characters_are_composed():
     points = [c for c in range(0x10000) if re.match(f"[{nfc.SAFE}]", chr(c))]
     assert len(points) > 1000 and not [c for c in points if unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c) or re.match(f"[{nfc.rough()}]", chr(c))]
+
+
+def test_only_passages_that_a_text_has_enough_of_are_held_against_it():
+    def occurrences(text):
+        index = sorted((g, i) for i, w in enumerate(text.split()) for g in set(A._grams(w)))
+        before = [b[1] if a == b[0] else -1 for (a, _), b in zip(index, [(None, -1), *index], strict=False)]
+        return len(text.split()), np.array([g for g, _ in index], np.int64), np.array([i for _, i in index], np.int32), np.array(before, np.int32)
+
+    texts = ["red green blue", "green grey", "one two three four five", "blue"]
+    passages = A._Passages([(i, sorted({g for w in t.split() for g in A._grams(w)}), len(t.split())) for i, t in enumerate(texts)], 450, 10)
+    held = lambda text: passages._possible(np.unique(np.flatnonzero(np.isin(passages.grams, occurrences(text)[1])))).tolist()
+    assert [held(t) for t in ("green blue", "one two three", "nothing like", "")] == [[0, 1, 3], [2], [], []]
+    for text in ("a green and blue sea", "red red red green blue red", "one three two", "nothing like", "x"):
+        words, found = text.split(), {}
+        for i, t in enumerate(texts):
+            n = len(t.split())
+            most = max(len(grams(t) & grams(" ".join(words[j : j + n]))) for j in range(max(len(words) - n + 1, 1)))
+            if most >= -(-len(grams(t)) * 450 // 1000):
+                found[i] = most
+        assert dict(zip(*[x.tolist() for x in passages.best(*occurrences(text))], strict=True)) == found
