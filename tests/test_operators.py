@@ -11,6 +11,7 @@ from chainproof.functions.text import words
 from chainproof.operators import matching as M
 from chainproof.operators import parse as P
 from chainproof.operators import passages as A
+from chainproof.plans import chain_queries as CQ
 from chainproof.sources import io as IO
 from chainproof.streaming import state as ST
 
@@ -288,3 +289,10 @@ def test_only_passages_that_a_text_has_enough_of_are_held_against_it():
             if most >= -(-len(grams(t)) * 450 // 1000):
                 found[i] = most
         assert dict(zip(*[x.tolist() for x in passages.best(*occurrences(text))], strict=True)) == found
+
+
+def test_files_of_a_stream_grow_in_number(spark, tmp_path):
+    docs = spark.range(10_000, numPartitions=9)
+    each = CQ.stream_files(docs, str(tmp_path / "stream"))
+    assert (each, len(list((tmp_path / "stream").glob("part-*")))) == (3, 9)  # before: three files, whatever the size
+    assert spark.read.parquet(str(tmp_path / "stream")).count() == 10_000
