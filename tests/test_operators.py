@@ -296,3 +296,34 @@ def test_files_of_a_stream_grow_in_number(spark, tmp_path):
     each = CQ.stream_files(docs, str(tmp_path / "stream"))
     assert (each, len(list((tmp_path / "stream").glob("part-*")))) == (3, 9)  # before: three files, whatever the size
     assert spark.read.parquet(str(tmp_path / "stream")).count() == 10_000
+
+
+def test_a_share_of_the_texts_bounds_the_others_only(spark, monkeypatch):
+    monkeypatch.setattr(A, "FIRST", 8)
+    monkeypatch.setattr(A, "SHARE", 2)
+    texts = [f"red green {'blue ' * (i % 4)}w{i % 7} grey sea{i % 5}" for i in range(60)] + ["", None]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    passages = spark.createDataFrame([(1, "green blue sea3"), (2, "grey w5 red"), (3, "nothing like it")], "passage_id long, text string")
+    index = A.text_index(corpus)
+    assert index.columns == ["tid", "t"]  # before: three arrays of every occurrence of a trigram, 16 times the text
+    expected = set()
+    for pid, q in passages.collect():
+        best, n = [], len(q.split())
+        for i, t in enumerate(texts):
+            w = (t or "").split()
+            most = max(len(grams(q) & grams(" ".join(w[j : j + n]))) for j in range(max(len(w) - n + 1, 1)))
+            if most * 1000 >= len(grams(q)) * 450:
+                best.append((-most / len(grams(q)), i))
+        expected |= {(pid, i, -s, r + 1) for r, (s, i) in enumerate(sorted(best)[:10])}
+    assert {tuple(r) for r in A.search_index(passages, index).collect()} == expected
+
+
+def test_windows_are_counted_in_parts(monkeypatch):
+    texts = ["red green blue", "green grey", "one two three four five"]
+    rows = [(i, sorted({g for w in t.split() for g in A._grams(w)}), len(t.split())) for i, t in enumerate(texts)]
+    words = ("red green blue one two three four " * 9).split()
+    whole = A._Passages(rows, 450, 10)
+    expected = [x.tolist() for x in whole.windows(len(words), *A._Words(whole.grams).occurrences(words))]
+    monkeypatch.setattr(A, "CELLS", 70)
+    parts = A._Passages(rows, 450, 10)
+    assert [x.tolist() for x in parts.windows(len(words), *A._Words(parts.grams).occurrences(words))] == expected != [[], []]
