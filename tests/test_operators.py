@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chainproof.functions import nfc, similarity
 from chainproof.functions.text import words
+from chainproof.operators import evidence as E
 from chainproof.operators import matching as M
 from chainproof.operators import parse as P
 from chainproof.operators import passages as A
@@ -327,3 +328,16 @@ def test_windows_are_counted_in_parts(monkeypatch):
     monkeypatch.setattr(A, "CELLS", 70)
     parts = A._Passages(rows, 450, 10)
     assert [x.tolist() for x in parts.windows(len(words), *A._Words(parts.grams).occurrences(words))] == expected != [[], []]
+
+
+def test_names_of_all_shapes_are_found_in_one_reading(spark):
+    names = ["abcdef", "zwölfte", "a bcdefg", "ab cd e", "abc defghijk lm", "abc defghijk lmn", "f ghi", "abcdefg h", "x" * 20 + " yy " + "z" * 90, "x" * 20 + " yy " + "z" * 91, "😀 smile 😀", "q" * 70, "q" * 71]
+    texts = ["xabc defghijk lmnop", "abcdefg ab cd ez", "the " + "x" * 21 + " yy " + "z" * 90, "zzzwölftens a bcdefgh", "ab cd", "", "o😀 smile 😀o", "q" * 70, "f ghi abcdef"]
+    n = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, nid long")
+    t = spark.createDataFrame([(i, f"b{i % 2}", x) for i, x in enumerate(texts)], "id long, book string, t string")
+    found = E._mentioned(t, n)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, f"b{i % 2}", j) for i, x in enumerate(texts) for j, y in enumerate(names) if y in x)
+    few = spark.createDataFrame([("nothing", 0)], "name string, nid long")
+    assert E._mentioned(t, few).count() == E._mentioned(t, n.limit(0)).count() == 0
+    # before: an automaton of 200,000 names at the most, and the texts were read again for each further one
+    assert E._anchor(*E._shape(names[4])) == E._anchor(*E._shape(names[8])) and len({E._anchor(*E._shape(x)) for x in names}) <= 6
