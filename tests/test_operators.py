@@ -341,3 +341,11 @@ def test_names_of_all_shapes_are_found_in_one_reading(spark):
     assert E._mentioned(t, few).count() == E._mentioned(t, n.limit(0)).count() == 0
     # before: an automaton of 200,000 names at the most, and the texts were read again for each further one
     assert E._anchor(*E._shape(names[4])) == E._anchor(*E._shape(names[8])) and len({E._anchor(*E._shape(x)) for x in names}) <= 6
+
+
+def test_names_of_one_file_are_made_by_many_tasks(spark):
+    one = spark.range(100).selectExpr("id as entity_id", "concat('name ', id % 7) as name").coalesce(1)
+    assert M._dealt(one, "entity_id").rdd.getNumPartitions() == 4  # before: the one task that reads the file made all distinct names
+    facts = spark.createDataFrame([("red ring", "blue bolt", "")] * 3 + [("red ring", None, "")], "subject string, other string, phrase string")
+    registry = spark.createDataFrame([(1, "red ring"), (2, "blue bolt"), (3, None)], "entity_id long, variant string")
+    assert [tuple(r) for r in M.resolve_pairs(facts, registry).collect()] == [(1, 2, "")]
