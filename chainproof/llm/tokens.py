@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
 from itertools import chain
+from operator import add
 
 import numpy as np
 
 #: Id appended to each document.
 END_ID = 1
-#: Pieces of text kept with their ids in a task; beyond these the memory starts anew.
-PIECES = 300_000
+#: Pieces of text kept with their ids in a task; beyond these the memory starts anew. Words encoded at once.
+PIECES, WORDS = 500_000, 20_000
+#: Punctuation that ends a word.
+_TAIL = ".,;:!?"
 
-#: A word of letters that are alike in every version of Unicode, and punctuation that ends it.
-_plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters that are alike in every version of Unicode.
+_letters = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+#: A piece of ASCII without the apostrophes of short forms, white space, or the signs that special tokens hold, and its words.
+_ascii = re.compile(r"[!-&(-;=-{}~]+").fullmatch
+_runs = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall
+
+#: What a tokenizer file of the kind of word_bpe_49k.json does to texts before it merges letters. Of words of
+#: small plain letters with blanks between, this leaves the words.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -39,44 +53,58 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = self.words = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}:
+            self.words = Tokenizer(self.tokenizer.model)  # the same model, without the steps that leave plain words as they are
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"] or ()}
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {"": b""}
 
     def _learn(self, new: set[str]) -> None:
         """Adds pieces, and their words without case and punctuation, which are pieces too."""
-        words = self.pieces
-        parts, unknown = {}, set()
+        known = self.pieces
+        letters, other, runs = set(), set(), []
+        whole, smalls, tails = [], [], []  # pieces, and what they are of
         for p in new:
-            m = _plain.fullmatch(p)
-            pair = (m[1].lower(), m[2]) if m else (p, "")
-            unknown.update(w for w in pair if w not in words)
-            if pair != (p, ""):
-                parts[p] = pair
-        letters = [w for w in unknown if _plain.fullmatch(w)]
-        letters = [w for w in letters if w[-1] not in ".,;:!?"]
-        other = list(unknown.difference(letters))
-        for at in range(0, len(letters), 2_000):
-            part = letters[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            w = p.rstrip(_TAIL)
+            if w.isalpha() and (w.isascii() or _letters(w)):
+                small = w.lower()
+                if small not in known:
+                    letters.add(small)
+                if small != p:
+                    whole.append(p)
+                    smalls.append(small)
+                    tails.append(p[len(w) :])
+            elif self.words is not self.tokenizer and _ascii(p):
+                runs.append((p, _runs(p.lower())))
+            else:
+                other.add(p)
+        letters.update(set(tails).difference(known), set(chain.from_iterable(r for _, r in runs)).difference(known))
+        words = list(letters)
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):  # not of the kind above
-                other += part
+                other.update(part)
                 continue
-            whole, start = ids.tobytes(), 0
-            for w, end in zip(part, (4 * cuts).tolist(), strict=True):
-                words[w] = whole[start:end]
-                start = end
-        for at in range(0, len(other), 5_000):
-            part = other[at : at + 5_000]
+            cuts = (4 * cuts).tolist()
+            known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        words = list(other)
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for p, (w, tail) in parts.items():
-            words[p] = words[w] + words[tail] if tail else words[w]
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        get = known.__getitem__
+        known.update(zip(whole, map(add, map(get, smalls), map(get, tails)), strict=True))
+        for p, r in runs:
+            known[p] = b"".join(map(get, r))
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text, with the end id; null counts as empty."""

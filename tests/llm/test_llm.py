@@ -105,6 +105,14 @@ def test_top_k_of_large_components_and_repeated_rows(spark):
         assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute_top_k(rows)
 
 
+def test_words_are_encoded_by_the_model_alone():
+    enc = encoder("word_bpe_49k.json")
+    texts = ["Été a.b,c (d). [e]! ß ẞ İ ΣΑΣ ﬁ é É.", "1,5 2. $$$ tire.] x@y.z/q?r=1 the's 'the don't.", "<|startoftext|> a|b <c> ~} `^_", "x y\tz\rq 中文 abc中 .", "", None]
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert ids.tolist() == [*enc.tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    assert enc.words is not enc.tokenizer  # plain words skip normalising and splitting
+
+
 def test_token_files_and_packing(spark, docs, none, tmp_path):
     enc = encoder("word_bpe_49k.json")
     want = {(d, tuple(enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for d, t, _ in ROWS}
