@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chainproof.llm.common import give_back, short_batches, sliced, written
-from chainproof.llm.tokens import encoder, forget_encoders
+from chainproof.llm.tokens import encoder, forget_pieces
 
 
 class OpenBins:
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, *, capacity: int = 4096, vocabulary: str = "word_bpe
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(columns)])
         del enc
-        forget_encoders()
+        forget_pieces()
         give_back()
 
     short_batches(docs.sparkSession)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chainproof.llm.common import give_back, short_batches, sliced
-from chainproof.llm.tokens import encoder, forget_encoders
+from chainproof.llm.tokens import encoder, forget_pieces
 
 MANIFEST = "part int, n_docs long, n_tokens long, null_docs long, width int"
 
@@ -71,7 +71,7 @@ def _writer(path: str, vocabulary: str, key: str, text: str):
             n_tokens = int(ends[-1])
             n_docs += batch.num_rows
         del enc
-        forget_encoders()
+        forget_pieces()
         give_back()
         if out:
             for x, (own, final) in names.items():
