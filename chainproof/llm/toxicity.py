@@ -34,8 +34,8 @@ from chainproof.llm.common import mixed, short_batches, sliced, written
 
 #: Labelled rows of each label that the model is fitted on, at most.
 SAMPLE = 1000
-#: Neighbours that vote; examples in a block; terms that are held by blocks; blocks opened first.
-NEIGHBOURS, BLOCK, LONG, FIRST = 15, 64, 2048, 4
+#: Neighbours that vote; examples in a block; terms that are held by blocks; blocks opened first; texts that blocks are opened for at once.
+NEIGHBOURS, BLOCK, LONG, FIRST, TEXTS = 15, 64, 2048, 4, 256
 #: Terms whose counts go together in one row; characters beyond which a text's words are counted first.
 CHUNK, GIANT = 8192, 4_000_000
 
@@ -63,8 +63,8 @@ def spelled(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray,
     """The different words of texts; and of each occurrence the text, the word and how many it is."""
     words = [_word.findall(t.lower()) if t and len(t) < GIANT else Counter(m[0] for m in _word.finditer((t or "").lower())) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
     times = np.concatenate([np.ones(len(w), np.int64) if isinstance(w, list) else np.fromiter(w.values(), np.int64, len(w)) for w in words])
     return list(number), np.repeat(np.arange(len(texts)), sizes), ids, times
 
@@ -92,6 +92,11 @@ def counted(texts: list[str | None], vocabulary: np.ndarray | None = None) -> li
     return list(zip(np.split(terms, cuts), np.split(counts, cuts), strict=True))
 
 
+def whole(weights: np.ndarray) -> np.ndarray:
+    """Weights of 0 to 1 in whole 2^24ths, so that sums of their products are exact in any order."""
+    return np.round(weights * (1 << 24)) / (1 << 24)
+
+
 class Index:
     """Inverted index of unit vectors (terms, weights) with block maxima for the terms of most examples."""
 
@@ -103,54 +108,69 @@ class Index:
         none = np.zeros(0, np.int64)
         doc = np.concatenate([none, *(np.full(len(vectors[i][0]), k) for k, i in enumerate(self.order))]).astype(np.int32)
         term = np.concatenate([none, *(vectors[i][0] for i in self.order)])
-        weight = np.concatenate([none, *(vectors[i][1] for i in self.order)]).astype(np.float32)
+        weight = whole(np.concatenate([none, *(vectors[i][1] for i in self.order)])).astype(np.float32)
         df = np.bincount(term, minlength=n_terms)
         long = np.argsort(-df, kind="stable")[:LONG]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[long] = np.arange(len(long))
         column = self.column[term]
         on = column >= 0
-        self.dense = np.zeros((len(long), self.blocks, BLOCK), np.float32)
-        self.dense[column[on], doc[on] // BLOCK, doc[on] % BLOCK] = weight[on]
-        self.top = self.dense.max(axis=2)
+        self.dense = np.zeros((self.blocks, len(long), BLOCK), np.float32)
+        self.dense[doc[on] // BLOCK, column[on], doc[on] % BLOCK] = weight[on]
+        self.top = self.dense.max(axis=2).T.astype(np.float64)
         by = np.argsort(term[~on], kind="stable")
         self.doc, self.weight = doc[~on][by], weight[~on][by]
         df[long] = 0
         self.cut = np.concatenate([[0], np.cumsum(df)])
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k largest cosines over 0, ties to the first in the index's order;
-        the example ``without`` is left out. Examples are numbered as given."""
+        """What ``nearest_all`` gives for one text."""
+        return self.nearest_all([(terms, weights)], k, [without] if without >= 0 else None)[0]
+
+    def nearest_all(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k largest cosines over 0 of each text, ties to the first in the index's
+        order; a text's example in ``without`` is left out. Examples are numbered as given. A block is opened for
+        all texts that it may matter to at once, by a product of matrices."""
+        n, width = len(texts), self.blocks * BLOCK
+        row = np.repeat(np.arange(n), [len(t) for t, _ in texts])
+        terms, weights = np.concatenate([t for t, _ in texts]).astype(np.int64), whole(np.concatenate([w for _, w in texts]))
         a = self.cut[terms]
-        n = self.cut[terms + 1] - a
-        places = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        sums = np.bincount(self.doc[places], self.weight[places] * np.repeat(weights, n), minlength=self.blocks * BLOCK).astype(np.float64)
-        sums = sums.reshape(self.blocks, BLOCK)
-        if without >= 0:
-            sums[divmod(self.place[without], BLOCK)] = -np.inf
+        m = self.cut[terms + 1] - a
+        places = np.repeat(a - np.cumsum(m) + m, m) + np.arange(m.sum())
+        sums = np.bincount(np.repeat(row * width, m) + self.doc[places], self.weight[places] * np.repeat(weights, m), minlength=n * width)
+        sums = sums.astype(np.float64).reshape(n, self.blocks, BLOCK)
+        for i, x in enumerate(without or ()):
+            sums[(i, *divmod(self.place[x], BLOCK))] = -np.inf
         columns = self.column[terms]
         on = columns >= 0
-        open_ = np.ones(self.blocks, bool)
-        if on.any():
-            columns, q = columns[on], weights[on].astype(np.float32)
-            bound = sums.max(axis=1) + q @ self.top[columns] + 1e-6
-            turn = np.argsort(-bound, kind="stable")
-            best = np.zeros(0)
-            for todo in (turn[:FIRST], turn[FIRST:]):
-                least = np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else 0.0
-                todo = todo[bound[todo] >= max(least, 2e-6)]
-                if 2 * len(todo) > self.blocks:  # whole lists are read faster than parts of them
-                    sums[todo] += (q @ self.dense[columns].reshape(len(q), -1)).reshape(-1, BLOCK)[todo]
-                else:
-                    sums[todo] += (q @ self.dense[columns[:, None], todo].reshape(len(q), -1)).reshape(-1, BLOCK)
-                best = np.concatenate([best, sums[todo].ravel()])
-            open_[:] = bound >= max(least, 2e-6)
-        found = np.flatnonzero((sums > 0) & open_[:, None])
-        s = sums.ravel()[found]
-        if len(found) > k:
-            found, s = (x[s >= np.partition(s, len(s) - k)[len(s) - k]] for x in (found, s))
-        first = np.lexsort((found, -s))[:k]
-        return self.order[found[first]], s[first]
+        q = np.zeros((n, self.dense.shape[1]))
+        q[row[on], columns[on]] = weights[on]
+        bound = sums.max(axis=2) + q @ self.top + 1e-6
+
+        def opened(todo: np.ndarray) -> None:
+            for block in np.flatnonzero(todo.any(axis=0)):
+                own = np.flatnonzero(todo[:, block])
+                sums[own, block] += q[own] @ self.dense[block].astype(np.float64)
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        first &= bound >= 2e-6
+        opened(first)
+        least = np.full(n, 2e-6)
+        if k <= width:
+            best = np.where(first[:, :, None], sums, -np.inf).reshape(n, width)
+            least = np.maximum(least, np.partition(best, width - k, axis=1)[:, width - k])
+        open_ = bound >= least[:, None]
+        opened(open_ & ~first)
+        out = []
+        for own, seen in zip(sums, open_, strict=True):
+            found = np.flatnonzero((own > 0) & seen[:, None])
+            s = own.ravel()[found]
+            if len(found) > k:
+                found, s = (x[s >= np.partition(s, len(s) - k)[len(s) - k]] for x in (found, s))
+            turn = np.lexsort((found, -s))[:k]
+            out.append((self.order[found[turn]], s[turn]))
+        return out
 
 
 class Model:
@@ -169,13 +189,15 @@ class Model:
         terms, w = terms[w > 0], w[w > 0]
         return terms, w / np.sqrt(w @ w) if len(w) else w
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        ids, cosines = self.index.nearest(terms, weights, NEIGHBOURS, without) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(ids):
-            return None, ids, cosines
-        toxic = self.labels[ids]
-        w = np.where(toxic == 1, self.per_label[1], self.per_label[0]) / (1.05 - np.minimum(cosines, 1.0))
-        return float(w[toxic == 1].sum() / w.sum()), ids, cosines
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[float | None, np.ndarray, np.ndarray]]:
+        """Vote (None without neighbours), nearest examples and cosines of each text's vector."""
+        out = []
+        for at in range(0, len(texts), TEXTS):
+            for ids, cosines in self.index.nearest_all(texts[at : at + TEXTS], NEIGHBOURS, without and without[at : at + TEXTS]):
+                toxic = self.labels[ids]
+                w = np.where(toxic == 1, self.per_label[1], self.per_label[0]) / (1.05 - np.minimum(cosines, 1.0))
+                out.append((float(w[toxic == 1].sum() / w.sum()) if len(ids) else None, ids, cosines))
+        return out
 
     def score(self, raw: float | None) -> float:
         return float(min(1.0, max(0.0, self.base if raw is None else np.interp(raw, *self.knots))))
@@ -183,11 +205,8 @@ class Model:
     def judged(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[float, np.ndarray, np.ndarray]]]]:
         """Slices of the batches, and for each row score, nearest examples and cosines."""
         for batch in sliced(batches, column):
-            out = []
-            for t, n in counted(batch.column(column).to_pylist(), self.vocabulary):
-                raw, ids, cosines = self.vote(*self.unit(t, n))
-                out.append((self.score(raw), ids, cosines))
-            yield batch, out
+            units = [self.unit(t, n) for t, n in counted(batch.column(column).to_pylist(), self.vocabulary)]
+            yield batch, [(self.score(raw), ids, cosines) for raw, ids, cosines in self.votes(units)]
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,11 +329,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, places = shared.value, place.value
         for batch in sliced(batches, "terms"):
-            raw, at = [], []
+            units, at = [], []
             for row in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "terms", "counts")), strict=True):
                 at.append(places[same(*row)])
                 terms = np.searchsorted(model.vocabulary, np.frombuffer(row[2], np.uint64))
-                raw.append(model.vote(*model.unit(terms, np.frombuffer(row[3], np.int32)), without=at[-1])[0])
+                units.append(model.unit(terms, np.frombuffer(row[3], np.int32)))
+            raw = [r for r, _, _ in model.votes(units, at)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(raw, pa.float64())], names=["i", "raw"])
 
     got = table.repartition(16).mapInArrow(left_out, "i long, raw double").where("raw is not null").collect()

@@ -350,6 +350,20 @@ def test_nearest_is_exhaustive(monkeypatch):
             assert i not in index.nearest(t, w, 15, without=i)[0]
 
 
+def test_nearest_of_many_texts_is_that_of_each():
+    rng = np.random.default_rng(6)
+    vectors = []
+    for _ in range(500):
+        t = np.unique((rng.random(30) ** 3 * 3000).astype(np.int32))
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt(w @ w)))
+    index, texts = toxicity.Index(vectors, 3000), [*vectors[:90], (vectors[0][0][:0], vectors[0][1][:0])]
+    for without in (None, list(range(91))):
+        for i, (ids, cosines) in enumerate(index.nearest_all(texts, 15, without)):
+            one = index.nearest(*texts[i], 15, without=-1 if without is None else i)
+            assert ids.tolist() == one[0].tolist() and cosines.tolist() == one[1].tolist()  # to the last bit
+
+
 def test_decontamination(spark, docs, none):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
