@@ -1,9 +1,11 @@
 import json
+import random
 import re
 import unicodedata
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chainproof.functions import nfc, similarity
@@ -349,3 +351,29 @@ def test_names_of_one_file_are_made_by_many_tasks(spark):
     facts = spark.createDataFrame([("red ring", "blue bolt", "")] * 3 + [("red ring", None, "")], "subject string, other string, phrase string")
     registry = spark.createDataFrame([(1, "red ring"), (2, "blue bolt"), (3, None)], "entity_id long, variant string")
     assert [tuple(r) for r in M.resolve_pairs(facts, registry).collect()] == [(1, 2, "")]
+
+
+def test_many_passages_are_found_by_keys(monkeypatch):
+    """Passages of whose trigrams a text has enough, by threes of trigrams of a group: as by counting all, without a look at the posting lists."""
+    rng = random.Random(3)
+    monkeypatch.setattr(A, "KEYED", 20)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    common = [word("abcdefg", rng.randint(3, 8)) for _ in range(300)]
+    rare = [f"{word('0123456789abcdef', 32)} {word('0123456789abcdef', 32)}" for _ in range(300)]
+    passages = rare + [" ".join(rng.choice(common) for _ in range(rng.randint(1, 14))) for _ in range(200)]
+    texts = [f"{rng.choice(passages)[rng.randint(0, 20) :]} x {word('abcdef', 20)}" for _ in range(100)] + [" ".join(rng.choice(common) for _ in range(rng.randint(0, 40))) for _ in range(50)]
+    rows = [(i, sorted({g for w in t.split() for g in A._grams(w)}), len(t.split())) for i, t in enumerate(passages)]
+    held = {tuple(t.split()): [i for i, g, _ in rows if len(set(g) & {x for w in t.split() for x in A._grams(w)}) >= -(-len(g) * 450 // 1000)] for t in texts}
+    whole = A._Passages(rows, 450, 10)
+    assert whole.quick.keyed[:300].all()
+    for key in (1e-9, 8, 10**6):  # by keys alone, by what is cheaper, by posting lists alone
+        monkeypatch.setattr(A, "KEY", key)
+        found = whole.possible([x for x, _ in A._Words(whole.grams).all_occurrences([t.split() for t in texts])])
+        assert [x.tolist() for x in found] == [held[tuple(t.split())] for t in texts]
+    monkeypatch.setattr(A, "KEY", 1e-9)
+    only = A._Passages(rows[:300], 450, 10)
+    counted = only._counted
+    monkeypatch.setattr(only, "_counted", lambda *x: counted(*x) if x[-1] else pytest.fail("posting lists of passages with keys"))
+    for i in range(100):
+        words = f"some of {rare[i]}".split()
+        assert only.windows(len(words), *A._Words(only.grams).occurrences(words))[0].tolist() == [i]
