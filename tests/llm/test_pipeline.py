@@ -148,3 +148,32 @@ def test_model_learns_outside_the_held_out_fifth(spark):
         labels = spark.createDataFrame([(i, int((i % 5 == 0) != (flip and held(i)))) for i in range(200)], "doc_id long, toxic int")
         scores.append(sorted((r["doc_id"], r["score"]) for r in toxicity.score(table, toxicity.fit(table, labels)).drop("evidence").collect()))
     assert scores[0] == scores[1]
+
+
+def test_basis_is_fitted_on_all_passages(spark, monkeypatch):
+    """Every passage of every document is a row of the matrix, however many there are, and the basis holds what the best one holds."""
+    monkeypatch.setattr(decontaminate, "ROWS", 7)
+    monkeypatch.setattr(decontaminate, "BESIDE", 10)
+    monkeypatch.setattr(decontaminate, "RANK", 20)
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(f"w{i}" for i in np.minimum(rng.zipf(1.4, n), 90))
+    texts = [(i, some(int(n))) for i, n in enumerate(rng.integers(0, 400, 60))] + [(90, None), (91, "none of these"), (None, some(70))]
+    items = decontaminate.Items([(i, some(20)) for i in range(6)])
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    numbered = decontaminate._numbers(docs, items, "doc_id", "text")
+    df, count = decontaminate._frequencies(numbered, len(items.vocabulary) + 1)
+    items.weigh(df, count)
+    space = items.blocks()[0]
+    passages = [x[i : i + 64] for x in decontaminate._as_numbers([t for _, t in texts], items.vocabulary) for i in range(0, len(x), 64)]
+    rows = np.array([np.bincount(space.place[x], minlength=len(space.idf)) * space.idf for x in passages])
+    norms = np.linalg.norm(rows, axis=1)
+    rows = rows[norms > 0] / norms[norms > 0][:, None]
+    assert count == len(passages) > 100 and len(rows) > 100
+    gram = rows.T @ rows
+    assert np.allclose(decontaminate._times_gram(numbered, space, np.eye(len(gram))), gram, atol=1e-4)
+    own = space.rows()
+    whole = gram + 900 * count / 10 * own.T @ own
+    basis = decontaminate.latent_basis(numbered, count, space)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-6)
+    best = np.linalg.eigvalsh(whole)[::-1][: basis.shape[1]].sum()
+    assert np.trace(basis.T @ whole @ basis) >= 0.999 * best and np.allclose(own @ basis @ basis.T, own, atol=0.05)
