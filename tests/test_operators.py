@@ -377,3 +377,28 @@ def test_many_passages_are_found_by_keys(monkeypatch):
     for i in range(100):
         words = f"some of {rare[i]}".split()
         assert only.windows(len(words), *A._Words(only.grams).occurrences(words))[0].tolist() == [i]
+
+
+def test_shapes_of_names_of_three_words_are_not_all_tried(spark, monkeypatch):
+    """Their second words are told by the blanks of a text: however many shapes names have, few stretches of a text are looked at, and none is missed."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 13, 20])))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    names = {t[i : i + rng.randint(3, 60)] for t in texts for i in rng.sample(range(len(t) + 1), min(8, len(t)))} | {f"{word()} {word()} {word()}" for _ in range(200)}
+    names = sorted(x for x in names if x)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("book", F.lit("b"))
+    got = E._mentioned(frame, spark.createDataFrame(list(enumerate(names)), "nid long, name string")).collect()
+    assert sorted((r["id"], r["nid"]) for r in got) == sorted((i, j) for i, t in enumerate(texts) for j, n in enumerate(names) if n in t)
+
+    looked, hashes = [], E._Spelling.hashes
+    monkeypatch.setattr(E._Spelling, "hashes", lambda self, b, e: looked.append(len(b)) or hashes(self, b, e))
+    sides = [(a, c) for a in range(1, 17) for c in range(1, 17)]
+    bits = [np.zeros(8192, np.uint8) for _ in range(3)]
+    long = " ".join("abcdefghijklmnop" for _ in range(500))
+    for i, (b, e) in enumerate([(15, 35), (0, 50), (0, 34)]):  # as if one name were known: a letter around the second word, all, and what is before the third
+        h = hashes(E._Spelling(long), np.array([b]), np.array([e]))
+        for k in range(E.TIMES):
+            at = int(E._place(h, k)[0] & np.uint64(8 * 8192 - 1))
+            bits[i][at >> 3] |= 1 << (at & 7)
+    found = E._stretches(long, tuple(bits), *E._sought([], sides))
+    assert found == {long[:50]} and sum(looked) <= 500 * (1 + 16 + 17)  # 256 shapes for each second word's length else
